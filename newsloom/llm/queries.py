@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontam, licenses, packing, topk
+from newsloom.llm import decontam, licenses, lm_mix, ngram_join, packing, topk, warc
 from newsloom.llm.common import table, tune
 
 
@@ -17,15 +17,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"), revisit_from=1000).drop("url")
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return lm_mix.score(table(spark, sf_dir, "documents"), folds=10, held=0)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return ngram_join.report(table(spark, sf_dir, "documents"), share=(4, 5))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,9 +52,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_licenses, op5_topk, op7_decontamination, op8_packing)
+    f.__name__: f for f in (op1_warc, op2_licenses, op4_lm_scores, op5_topk, op6_ngram_join, op7_decontamination, op8_packing)
 }
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), b AS (SELECT d, n, max(page_id) AS best, count(*) AS c FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN b.c > 1 AND b.best IS NOT NULL AND b.best IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b.c > 1 AND b.best IS DISTINCT FROM p.page_id THEN b.best END AS refers_to
+FROM p LEFT JOIN b ON p.d = b.d AND p.n = b.n
+"""
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -55,6 +80,23 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), r AS (
+  SELECT doc_id AS v, doc_id AS u FROM d UNION SELECT r.v, e.y FROM r JOIN e ON e.x = r.u
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS component_id FROM r GROUP BY v) m ON m.v = d.doc_id
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -82,4 +124,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_topk": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_decontamination": OP7_SQL}
