@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontam, licenses, lm_mix, ngram_join, packing, topk, warc
+from newsloom.llm import decontam, langid, licenses, lm_mix, ngram_join, packing, quality, topk, toxicity, warc
 from newsloom.llm.common import table, tune
 
 
@@ -26,6 +26,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.3)
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return lm_mix.score(table(spark, sf_dir, "documents"), folds=10, held=0)
@@ -51,8 +56,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return langid.predict(table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_licenses, op4_lm_scores, op5_topk, op6_ngram_join, op7_decontamination, op8_packing)
+    f.__name__: f for f in (op1_warc, op2_licenses, op3_quality, op4_lm_scores, op5_topk, op6_ngram_join, op7_decontamination, op8_packing, op9_language, op10_toxicity)
 }
 
 OP1_SQL = """
