@@ -2,11 +2,11 @@
 
 Components become integers. Vectors are dealt into index blocks; a block keeps, per dimension, its
 vectors ordered by component value, so each run of equal values is a posting segment whose impact on
-a query is ``q_d * value`` above the least that the dimension can give. A query reads segments by
-descending quantised impact into accumulators. After each level the impact that any unread segment
+a query is ``q_d * value`` above the least that the dimension can give. A block of queries reads
+segments by descending quantised impact into accumulators. After each level the impact that any unread segment
 can still add is known per dimension; their sum bounds what any vector can gain. Reading stops only
-when the k-th best accumulated score proves that all but a few vectors cannot be members; those few
-are scored exactly from their components. A query that gets no proof reads everything.
+for a query when a lower bound of its k-th best score proves that all but a few vectors cannot be
+members; those few are scored exactly from their components. Without proof everything is read.
 
 Query blocks meet index blocks by key, each pair a row of its own; a pair returns at most k rows a
 query, and the k best of all pairs are the answer.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Levels of quantised impact that a query reads one after another.
+#: Levels of quantised impact that are read one after another.
 LEVELS = 8
 
 
@@ -46,40 +46,52 @@ class Block:
         self.first = np.searchsorted(self.dim, np.arange(dims))  # segments are in order of dimension
         self.size, self.dims = n, dims
 
-    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best for ``q`` but ``own``, best first, ties to smaller ids."""
-        worth = q[self.dim] * self.value
-        least = np.minimum.reduceat(worth, self.first)
-        impact = worth - least[self.dim]
-        top = int(impact.max())
-        order = np.argsort(-impact, kind="stable")
-        falling = -impact[order]
-        score = np.full(self.size, int(least.sum()), dtype=np.int64)
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: scores and ids of the k best but its own id, best first, ties to smaller ids.
+
+        The queries of a block read a segment together, in order of its largest quantised impact on any
+        of them; each leaves as soon as its own proof holds.
+        """
+        q = queries.astype(np.int32)
+        worth = q[:, self.dim] * self.value.astype(np.int32)
+        least = np.minimum.reduceat(worth, self.first, axis=1)
+        impact = worth - least[:, self.dim]
+        strongest = impact.max(axis=0)
+        level = np.minimum(LEVELS - 1, strongest.astype(np.int64) * LEVELS // max(1, int(strongest.max())))
+        order = np.argsort(-level, kind="stable")
         target = min(k + 1, self.size)
-        unread = impact.copy()
-        done = 0
-        for level in range(1, LEVELS + 1):
-            # all segments whose impact is above this level's floor; the last level has the rest
-            end = len(order) if level == LEVELS else int(np.searchsorted(falling, -(top * (LEVELS - level) // LEVELS), "left"))
-            own_segments = order[done:end]
-            done = end
-            if not len(own_segments):
-                continue
-            a, b = self.a[own_segments].tolist(), self.b[own_segments].tolist()
-            line = np.concatenate([self.postings[i:j] for i, j in zip(a, b, strict=True)])
-            adds = np.repeat(impact[own_segments], self.b[own_segments] - self.a[own_segments])
-            score += np.bincount(line, weights=adds, minlength=self.size).astype(np.int64)
-            unread[own_segments] = 0
-            rest = int(np.maximum.reduceat(unread, self.first).sum())  # a vector is in one segment of a dimension
-            best = np.argpartition(score, self.size - target)[self.size - target :]
-            proven = int((self.x[best] @ q).min())
-            keep = np.flatnonzero(score + rest >= proven)  # score + rest is an upper bound
-            if len(keep) <= max(4 * target, 64):
-                break
-        exact, ids = self.x[keep] @ q, self.ids[keep]
-        exact, ids = exact[ids != own], ids[ids != own]
-        ranked = np.lexsort((ids, -exact))[:k]
-        return exact[ranked], ids[ranked]
+        # k + 1 members of any part of the block bound the k-th best from below
+        part = self.x[: max(target, min(self.size, 1024))] @ queries.T
+        proven = np.partition(part, len(part) - target, axis=0)[len(part) - target]
+        live = np.arange(len(q))
+        score = np.repeat(least.sum(axis=1, dtype=np.int32)[None, :], self.size, axis=0)
+        adds = np.ascontiguousarray(impact.T)
+        unread = impact
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        at = 0
+        for now in range(LEVELS - 1, -1, -1):
+            while at < len(order) and level[order[at]] == now:
+                s = order[at]
+                score[self.postings[self.a[s] : self.b[s]]] += adds[s]
+                at += 1
+            unread = np.where(level[None, :] >= now, 0, unread)
+            rest = np.maximum.reduceat(unread, self.first, axis=1).sum(axis=1)  # a vector has one value in a dimension
+            open_ = score >= (proven[live] - rest)[None, :]  # score + rest is an upper bound
+            done = (open_.sum(axis=0) <= max(4 * target, 64)) if now else np.ones(len(live), dtype=bool)
+            for j in np.flatnonzero(done):
+                keep = np.flatnonzero(open_[:, j])
+                exact, ids = self.x[keep] @ queries[live[j]], self.ids[keep]
+                other = ids != own[live[j]]
+                exact, ids = exact[other], ids[other]
+                ranked = np.lexsort((ids, -exact))[:k]
+                out[live[j]] = (exact[ranked], ids[ranked])
+            if done.any() and now:
+                rows = ~done
+                live, unread = live[rows], unread[rows]
+                if not len(live):
+                    break
+                score, adds = np.ascontiguousarray(score[:, rows]), np.ascontiguousarray(adds[:, rows])
+        return out
 
 
 def _to_ints(vector: str, scale: int):
@@ -139,12 +151,9 @@ def _answers(k: int):
                 vectors = np.frombuffer(row["q_x"], "<i4").reshape(row["q_n"], -1).astype(np.int64)
                 if vectors.shape[1] != block.dims:
                     raise ValueError("vectors differ in length")
-                who, found, scores = [], [], []
-                for own, q in zip(names.tolist(), vectors, strict=True):
-                    s, v = block.top(q, own, k)
-                    who.append(np.full(len(v), own))
-                    found.append(v)
-                    scores.append(s)
+                answers = block.top(vectors, names, k)
+                who = [np.full(len(v), n) for n, (_, v) in zip(names.tolist(), answers, strict=True)]
+                found, scores = [v for _, v in answers], [x for x, _ in answers]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in (who, found, scores)], names=["query_id", "vec_id", "score"])
 
     return run
