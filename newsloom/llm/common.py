@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -57,10 +59,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-        import atexit
-
         atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/newsloom-{purpose}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/newsloom-{purpose}-{uuid.uuid4().hex[:12]}"
+    if re.match("file:|/", folder):  # results may read it until the session ends
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", folder), True)
+    return folder
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Sets: 64-bit fingerprints of distinct shingles. Texts with equal sets form a class; one class id
 (64 bits of a digest of the set) stands for all its copies, so copies cost one row each and no pair.
 
-Candidates: prefix filter. Shingles are ordered by grade, then fingerprint; the grade is the log of a
-count in a fixed-size sketch over all documents, so frequent passages come last in every set and
-stay out of prefixes. Any grade gives the same links; a coarse one only costs more candidates.
+Candidates: prefix filter. Shingles are ordered by grade, then fingerprint; the grade ranks a count in
+a fixed-size sketch over all documents, so shared passages come last in every set and stay out of
+prefixes. Any grade gives the same links; a coarse one only costs more candidates.
 Posting lists are read in order of (shingle, set size) as a stream. Blocks of a list are size classes
 a factor 5/4 apart: a set meets only its own and the neighbouring block, all others are skipped by
 position. Each pair of neighbouring blocks is led by its first set, and what leaves the list is one
@@ -101,13 +101,21 @@ def _sets(bits: int, words: int, chunk: int = 1 << 16):
     return run
 
 
-def _grades(floor: int):
-    """Sum of a chunk's counts over tasks, as grades: 0 up to ``floor``, then one per doubling."""
+def grades(counts: np.ndarray, load: float) -> np.ndarray:
+    """Counts as ranks in a byte: fine around the mean load of a counter, where rare shingles are told from
+    shared ones, by logarithm far above it."""
+    step = max(1.0, np.sqrt(load) / 4)
+    fine = np.clip((counts - load + 4 * np.sqrt(load)) / step, 0, 160)
+    far = np.log2(np.maximum(counts / (load + 40 * step), 1))
+    return np.minimum(fine + 8 * far, 255).astype(np.uint8)
+
+
+def _grades(load: float):
+    """Sum of a chunk's counts over tasks, as grades."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64) for x in group.column("cells").to_pylist())
-        grade = np.where(total > floor, np.floor(np.log2(np.maximum(total, 1) / floor)) + 1, 0).astype(np.uint8)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "grade": pa.array([zlib.compress(grade.tobytes(), 1)], pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "grade": pa.array([zlib.compress(grades(total, load).tobytes(), 1)], pa.binary())})
 
     return run
 
@@ -354,7 +362,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 def join(
     docs: DataFrame, share: tuple[int, int] = (4, 5), words: int = WORDS, doc_col: str = "doc_id", text_col: str = "text",
-    sketch_bits: int = 22, block_shingles: int = 1_500_000,
+    sketch_bits: int = 24, block_shingles: int = 1_500_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (and sid, the class of equal sets) of each document row.
 
@@ -369,9 +377,8 @@ def join(
     first = written(body.mapInArrow(_sets(sketch_bits, words), f"kind int, doc_id {kind}, n bigint, sid bigint, chunk int, cells binary"), f"{folder}/sets")
     rows = first.where("kind = 0").select("doc_id", "n", "sid")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    floor = 8 + 2 * total // (1 << sketch_bits)
     # a fixed number of chunks, whatever the corpus
-    graded = first.where("kind = 1").select("chunk", "cells").groupBy("chunk").applyInArrow(_grades(floor), "chunk int, grade binary")
+    graded = first.where("kind = 1").select("chunk", "cells").groupBy("chunk").applyInArrow(_grades(total / (1 << sketch_bits)), "chunk int, grade binary")
     grade = np.zeros(1 << sketch_bits, dtype=np.uint8)
     for r in graded.collect():
         part = np.frombuffer(zlib.decompress(bytes(r["grade"])), np.uint8)
