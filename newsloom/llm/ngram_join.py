@@ -33,13 +33,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from newsloom.llm.common import space_words, work_dir, written
 
 WORDS = 5
+#: log2 of the bits of the bitmap that keeps texts without candidates out of a shuffle.
+ASKED_BITS = 25
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -290,6 +294,20 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_batches(held)
 
 
+def _bitmap(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << 16, dtype=np.uint8)
+    bits[group.column("at").to_numpy()] = 1
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _in_bitmap(shared):
+    def found(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return found
+
+
 def _own_text(words: int):
     """Of rows with one id and several texts, those whose text has the class asked for."""
 
@@ -400,7 +418,16 @@ def join(
     # one document of each class that has a candidate lends its text
     lenders = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id")).alias("lender")).select("sid", "lender.doc_id")
     asked = members.select("sid").distinct().join(lenders, "sid")
-    lent = asked.join(body, asked["doc_id"].eqNullSafe(body["doc_id"])).select("sid", "raw")
+    asked = written(asked, f"{folder}/asked")
+    # only texts that a bitmap of the asked ids lets through are shuffled; the join decides
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << ASKED_BITS) - 1))
+    cells = asked.select(F.shiftright(place, 16).cast("int").alias("chunk"), place.bitwiseAND(F.lit(65535)).cast("int").alias("at")).distinct()
+    bitmap = np.zeros(1 << ASKED_BITS - 3, dtype=np.uint8)
+    for r in cells.groupBy("chunk").applyInArrow(_bitmap, "chunk int, bits binary").collect():  # at most 2**(ASKED_BITS - 16) chunks
+        bitmap[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    filter_ = spark.sparkContext.broadcast(bitmap)
+    some = body.where(F.pandas_udf(_in_bitmap(filter_), BooleanType())(place))
+    lent = asked.join(some, asked["doc_id"].eqNullSafe(some["doc_id"])).select("sid", "raw")
     texts = lent.mapInArrow(_own_text(words), "sid bigint, raw binary").dropDuplicates(["sid"])
 
     def gathered(wanted: DataFrame) -> DataFrame:
