@@ -201,7 +201,8 @@ def _spaces(c: Column) -> Column:
 
 
 def _starts_with(phrase: str):
-    return lambda piece: piece.rlike(f"(?i)^{phrase} ")
+    # the space after the phrase is gone where another phrase follows at once
+    return lambda piece: piece.rlike(f"(?i)^{phrase}( |$)")
 
 
 def _found(normal: Column, low: Column, book: list[tuple[int, str, int, str, str]]) -> Column:

@@ -1,7 +1,8 @@
 """Sequence packing as a cutting-stock problem, solved by column generation.
 
 Documents become token ids plus one end id and are cut into full pieces of the sequence length and
-one remainder. Remainders are packed by length alone: the histogram of remainder lengths (at most
+a remainder, which is cut once more if it is over half a sequence. Remainders are packed by length
+alone: the histogram of remainder lengths (at most
 ``size`` rows, whatever the corpus) goes to the driver, where a linear program over patterns is
 solved by column generation (a knapsack DP prices new patterns), its solution is rounded down, and
 what is left over is filled by bounded subset-sum DPs. Patterns then meet documents through ranks:
@@ -215,8 +216,10 @@ def _pieces(path: str, size: int, end_id: int, doc_type: pa.DataType):
             for i, text in enumerate(batch.column(1).to_pylist()):
                 raw = encoder.ids(text) + end
                 n = len(raw) // 4
-                for a in range(0, n, size):
-                    k = min(size, n - a)
+                a = 0
+                while a < n:
+                    # a remainder over half a sequence is cut there: halves pair up, and what is left is small
+                    k = size if n - a >= size else min(size // 2, n - a)
                     who.append(i)
                     start.append(a)
                     length.append(k)
@@ -224,6 +227,7 @@ def _pieces(path: str, size: int, end_id: int, doc_type: pa.DataType):
                     total.append(n)
                     rank.append(int(seen[k]))
                     seen[k] += 1
+                    a += k
             column = batch.column(0).take(pa.array(who, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [column, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([part] * len(who), pa.int64()), pa.array(rank, pa.int64())],
