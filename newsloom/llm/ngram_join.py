@@ -11,7 +11,8 @@ a factor 5/4 apart: a set meets only its own and the neighbouring block, all oth
 position. Each pair of neighbouring blocks is led by its first set, and what leaves the list is one
 row per member, (leader, member): no pair of members is written.
 
-Verification: a leader's members are brought together with their texts, and linked there. A set is
+Verification: sets that candidates connect are brought together with their texts, and linked there; if
+they are too many for one task, each leader's members are. A set is
 compared with all members only if its answers cannot be derived: from the computed overlaps of a
 highly similar set, bounds on the overlap with each other member follow, and members that are bounded
 away or already connected are skipped. Members above a bound of shingles are cut in blocks that all
@@ -407,7 +408,16 @@ def join(
     lists = postings.repartition("token").sortWithinPartitions("token", "n", "sid")
     led = lists.mapInArrow(_led(share), "leader bigint, leader_n int, sid bigint, n int")
     led = written(led.distinct(), f"{folder}/led")
-    members = led.select("leader", "sid", "n").union(led.select("leader", F.col("leader").alias("sid"), F.col("leader_n").alias("n")).distinct())
+    # a candidate component that one task can hold is one group, so that each text travels once
+    whole = components(led.select(F.col("leader").alias("a"), F.col("sid").alias("b")), f"{folder}/candidates").withColumnRenamed("v", "sid")
+    each = led.select("sid", "n").union(led.select("leader", "leader_n")).distinct().join(whole, "sid")
+    size = written(each.groupBy("label").agg(F.sum("n").alias("held")), f"{folder}/candidate_sizes")
+    small = each.join(size.where(F.col("held") <= block_shingles), "label").select(F.col("label").alias("leader"), "sid", "n")
+    # larger ones keep a group for each leader
+    large = whole.join(size.where(F.col("held") > block_shingles), "label").select(F.col("sid").alias("leader"))
+    rest = led.join(large, "leader", "left_semi")
+    rest = rest.select("leader", "sid", "n").union(rest.select("leader", F.col("leader").alias("sid"), F.col("leader_n").alias("n")).distinct())
+    members = written(small.union(rest), f"{folder}/members")
     sizes = members.groupBy("leader").agg(F.sum("n").alias("shingles"))
     blocks = F.ceil(F.col("shingles") / block_shingles).cast("int")
     cut = members.join(sizes, "leader").withColumn("blocks", blocks)
