@@ -51,13 +51,14 @@ def edits_for(term: str) -> int:
 class Automaton:
     """All words within the edits of some term, or starting with a stem; states are built when first met."""
 
-    def __init__(self, words: list[str], stems: list[str] = ()):
+    def __init__(self, words: list[str] | dict[str, int], stems: list[str] = ()):
+        self.edits = words if isinstance(words, dict) else {w: edits_for(w) for w in words}
         self.next: list[dict[str, int]] = [{}]
         self.most: list[int] = [-1]  # edits allowed to any term below the node
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         for term, stem in [(w, False) for w in words] + [(s, True) for s in stems]:
-            node, k = 0, 0 if stem else edits_for(term)
+            node, k = 0, 0 if stem else self.edits[term]
             self.most[0] = max(self.most[0], k)
             for c in term:
                 if c not in self.next[node]:
@@ -97,7 +98,7 @@ class Automaton:
         self.ids[pairs] = len(self.states)
         self.states.append(pairs)
         self.steps.append({})
-        ends = [(e, self.word[n]) for n, e in pairs if self.word[n] and e <= edits_for(self.word[n])]
+        ends = [(e, self.word[n]) for n, e in pairs if self.word[n] and e <= self.edits[self.word[n]]]
         self.accept.append(min(ends, default=None))
         self.stems.append(min((self.stem[n] for n, e in pairs if self.stem[n] and not e), default=None))
         return self.ids[pairs]
@@ -199,7 +200,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, y in zip(batch.column("raw").to_pylist(), batch.column("y").to_pylist(), strict=True):
             words = {w.decode("utf-8", "replace").lower() for w in alnum_words(raw)}
             seen = {(False, w) for w in words if 3 <= len(w) <= 40}
-            seen |= {(True, w[:k]) for w in words for k in (4, 5, 6) if len(w) > k}
+            seen |= {(True, w[:k]) for w in words for k in range(4, 11) if len(w) > k}
             for t in seen:
                 counts.setdefault(t, [0, 0])[y] += 1
         if len(counts) > 500_000:
@@ -228,12 +229,32 @@ def _least_gain(tallies: list[tuple[int, int]], share: float, alpha: float = 0.2
     return float(np.log(max(able, 1) / alpha))
 
 
-def _surfaces(words: list[str], stems: list[str]):
+def _chosen(telling: list[tuple[str, bool, int]]) -> tuple[list[str], list[str]]:
+    """Words and stems from (term, stem, documents), the most telling first.
+
+    A stem is taken where it says more than the words that start with it: not after a word with most of
+    its documents; what starts with a stem is not taken again.
+    """
+    words: dict[str, int] = {}
+    stems: list[str] = []
+    for term, stem, n in telling:
+        if any(term.startswith(s) for s in stems) or (stem and any(s.startswith(term) for s in stems)):
+            continue
+        if stem:
+            if all(m < 0.75 * n for w, m in words.items() if w.startswith(term)):
+                stems.append(term)
+        else:
+            words[term] = n
+    return [w for w in words if not any(w.startswith(s) for s in stems)], stems
+
+
+def _surfaces(words: dict[str, int], stems: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(words, stems)
         for batch in batches:
             hit = [automaton.match(t) for t in batch.column("term").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("term").filter(pa.array([bool(h and h[1]) for h in hit], pa.bool_()))], names=["term"])
+            near = pa.array([bool(h and h[1]) for h in hit], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("term").filter(near), pa.array([h[0] for h in hit if h and h[1]], pa.string())], names=["term", "near"])
 
     return run
 
@@ -276,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: tu
             once.append((r["doc_id"],))
             sizes[r["y"]] += 1
         seen |= keys
-    words, stems, stop = list(LEXICON), [], frozenset()
+    words, stems, stop = {w: edits_for(w) for w in LEXICON}, [], frozenset()
     if sizes[0] and sizes[1]:
         names = docs.sparkSession.createDataFrame(once, f"once {kind}")
         distinct = rows.join(F.broadcast(names), F.col("doc_id") == F.col("once"), "left_semi")
@@ -289,15 +310,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: tu
         odds = ((F.col("pos") + 0.5) / (sizes[1] + 1)) / ((F.col("neg") + 0.5) / (sizes[0] + 1))
         tallies = terms.groupBy(total.alias("total")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most one a sample row
         least = _least_gain([(r["total"], r["n"]) for r in tallies], share)
-        telling = terms.where((F.col("pos") >= 5) & (gain >= least) & (odds >= 20)).orderBy(F.desc(gain), "term").limit(max_terms).collect()
-        stems = sorted(r["term"] for r in telling if r["stem"])
-        stems = [s for s in stems if not any(s != t and s.startswith(t) for t in stems)]
-        found = [r["term"] for r in telling if not r["stem"] and not any(r["term"].startswith(s) for s in stems)]
-        words = sorted({*words, *found})
-        clean = terms.where(~F.col("stem") & (F.col("neg") > 0)).select("term").mapInArrow(_surfaces(words, stems), "term string")
-        stop = frozenset(r["term"] for r in clean.collect())  # words of the sample near a term
+        telling = terms.where((F.col("pos") >= 5) & (gain >= least) & (odds >= 40)).orderBy(F.desc(gain), F.desc(F.length("term")), "stem", "term").limit(max_terms).collect()
+        found, stems = _chosen([(r["term"], r["stem"], r["pos"]) for r in telling])
+        words |= {w: edits_for(w) for w in found if w not in words}
+        near = terms.where(~F.col("stem") & (F.col("neg") > 0)).select("term").mapInArrow(_surfaces(words, stems), "term string, near string").collect()
+        stop = frozenset(r["term"] for r in near)  # words of clean sample documents near a term
+        # learned terms that clean words are near to are taken as they are
+        words |= {r["near"]: 0 for r in near if r["near"] not in LEXICON}
         spoilt = [r["term"] for r in terms.where(~F.col("stem") & F.col("term").isin(list(LEXICON)) & (odds < 1) & (F.col("neg") >= 5)).collect()]
-        words = [w for w in words if w not in spoilt]
+        words = {w: k for w, k in words.items() if w not in spoilt}
     context = docs.sparkSession.sparkContext.broadcast((words, stems, stop))
     found = rows.mapInArrow(_feature_rows(context, ("y",)), "y int, x array<double>").collect()
     x, y = np.array([r["x"] for r in found]).reshape(-1, FEATURES), np.array([r["y"] for r in found], dtype=float)
