@@ -309,21 +309,6 @@ def _in_bitmap(shared):
     return found
 
 
-def _own_text(words: int):
-    """Of rows with one id and several texts, those whose text has the class asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("sid").to_pylist(), batch.column("raw").to_pylist(), strict=True)
-            keep = []
-            for sid, raw in pairs:
-                s = shingle_set(raw, words)
-                keep.append(len(s) > 0 and class_id(s) == sid)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _linked(words: int, share: tuple[int, int], cross: bool):
     """Sorted (leader, block, n, sid, raw, extra) to edges (kind 0) and, of cut groups, members not linked to the leader (kind 1)."""
     names = ["kind", "a", "b", "n", "blocks"]
@@ -338,12 +323,21 @@ def _linked(words: int, share: tuple[int, int], cross: bool):
 
         for group in _groups(batches, ("leader", "block", "part")):
             sid = group.column("sid").to_numpy()
-            if len(sid) < 2:
+            if sid.min() == sid.max():
                 continue
             extra = group.column("extra").to_numpy(zero_copy_only=False).astype(bool)
             if cross and (extra.all() or not extra.any()):
                 continue
-            sets = [shingle_set(x, words) for x in group.column("raw").to_pylist()]
+            # a class is in a group once, and once more on the other side; of several texts under its id, its own counts
+            every = [shingle_set(x, words) for x in group.column("raw").to_pylist()]
+            first: dict[tuple[int, bool], int] = {}
+            for i, s in enumerate(every):
+                if len(s) and class_id(s) == sid[i]:
+                    first.setdefault((int(sid[i]), bool(extra[i])), i)
+            keep = sorted(first.values())
+            sid, extra, sets = sid[keep], extra[keep], [every[i] for i in keep]
+            if len(sets) < 2:
+                continue
             linker = Linker(sets, share)
             out += [(0, int(sid[i]), int(sid[j]), 0, 0) for i, j in linker.run(extra if cross else None)]
             blocks = int(group.column("blocks")[0].as_py())
@@ -427,8 +421,7 @@ def join(
 
     # one document of each class that has a candidate lends its text
     lenders = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id")).alias("lender")).select("sid", "lender.doc_id")
-    asked = members.select("sid").distinct().join(lenders, "sid")
-    asked = written(asked, f"{folder}/asked")
+    asked = written(members.select("sid").distinct().join(lenders, "sid"), f"{folder}/asked")
     # only texts that a bitmap of the asked ids lets through are shuffled; the join decides
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << ASKED_BITS) - 1))
     cells = asked.select(F.shiftright(place, 16).cast("int").alias("chunk"), place.bitwiseAND(F.lit(65535)).cast("int").alias("at")).distinct()
@@ -436,16 +429,15 @@ def join(
     for r in cells.groupBy("chunk").applyInArrow(_bitmap, "chunk int, bits binary").collect():  # at most 2**(ASKED_BITS - 16) chunks
         bitmap[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(bytes(r["bits"]), np.uint8)
     filter_ = spark.sparkContext.broadcast(bitmap)
-    some = body.where(F.pandas_udf(_in_bitmap(filter_), BooleanType())(place))
-    lent = asked.join(some, asked["doc_id"].eqNullSafe(some["doc_id"])).select("sid", "raw")
-    texts = lent.mapInArrow(_own_text(words), "sid bigint, raw binary").dropDuplicates(["sid"])
+    some = body.where(F.pandas_udf(_in_bitmap(filter_), BooleanType())(place)).withColumnRenamed("doc_id", "lent")
 
     def gathered(wanted: DataFrame) -> DataFrame:
-        full = wanted.join(texts, "sid").select("leader", "block", "part", "blocks", "n", "sid", "extra", "raw")
+        """Texts go to their groups at once: one shuffle by id, one by group. What is wanted grows with the corpus: no broadcast."""
+        who = wanted.join(asked, "sid").hint("merge")
+        full = who.join(some, who["doc_id"].eqNullSafe(some["lent"])).select("leader", "block", "part", "blocks", "n", "sid", "extra", "raw")
         return full.repartition("leader", "block", "part").sortWithinPartitions("leader", "block", "part", "n", "sid")
 
     out_schema = "kind bigint, a bigint, b bigint, n bigint, blocks bigint"
-    texts = written(texts, f"{folder}/texts")
     wanted = cut.select("leader", "block", F.lit(0).alias("part"), "blocks", "n", "sid", F.lit(False).alias("extra"))
     found = written(gathered(wanted).mapInArrow(_linked(words, share, False), out_schema), f"{folder}/links")
     edges = found.where("kind = 0").select("a", "b")
