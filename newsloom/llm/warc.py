@@ -9,8 +9,9 @@ digests are made anew. A task's files are listed in a manifest that Spark's own
 writes, so of several attempts exactly one counts; the files in the manifest are then renamed, which
 can be repeated. Reading goes file by file from the manifest, as a stream.
 
-Equal payloads are found by SHA-1 and length. Only (key, digest) pairs are shuffled for that, with
-partial maxima before the shuffle; the rows meet them in a join that adaptive execution can split.
+Equal payloads are found by SHA-1 and length. Only (key, digest) pairs are shuffled and joined for that,
+with partial maxima before; what a record revisits travels to its shard as a note, so that payloads are
+shuffled once.
 
 Defined results: a null payload is empty; a null key is written as such and never chosen over a
 number; rows that repeat the largest key of their payload are all responses; an empty table gives no
@@ -105,8 +106,13 @@ def _writer(folder: str, roll_bytes: int):
                 made.append((shard, len(made), temporary, name, count, size, sums.hexdigest()))
                 out = None
 
+        noted = None
         for batch in batches:
             for row in batch.to_pylist():
+                if not row["note"]:
+                    noted = (row["k"], row["digest"], row["refers"])
+                    continue
+                refers = noted[2] if noted and noted[:2] == (row["k"], row["digest"]) else None
                 if out is not None and size >= roll_bytes:
                     close()
                 if out is None:
@@ -114,7 +120,7 @@ def _writer(folder: str, roll_bytes: int):
                     temporary = f"_temporary/{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):05d}"
                     out = system.open_output_stream(f"{root}/{temporary}", compression=None)
                     size, count, sums = 0, 0, hashlib.sha256()
-                raw = _member(record(row["k"], row["url"], row["payload"], row["refers"], row["digest"]))
+                raw = _member(record(row["k"], row["url"], row["payload"], refers, row["digest"]))
                 out.write(raw)
                 sums.update(raw)
                 size += len(raw)
@@ -146,16 +152,18 @@ def _commit(folder: str):
 
 
 def keyed(pages: DataFrame, key_col: str, payload_col: str, url_col: str, revisit_from: int) -> DataFrame:
-    """k, url, payload, digest and refers (the key of the response, for revisits)."""
+    """Pages as (k, url, payload, digest, note = 1), and a row without payload (note = 0, refers) for each (k, digest) to revisit.
+
+    Both kinds go to the same place by (k, digest), so payloads need no join to learn what they revisit.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key_col).cast("bigint").alias("k"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    slim = rows.where(F.col("size") >= revisit_from)
-    best = slim.groupBy("digest", "size").agg(F.max("k").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(best, ["digest", "size"], "left")
-    # equal to null: only rows with a null key, or all of them
-    refers = F.when(F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.col("k")), F.col("best"))
-    return joined.select("k", "url", "payload", "digest", refers.alias("refers"))
+    slim = rows.where(F.col("size") >= revisit_from).select("k", "digest", "size")
+    best = slim.groupBy("digest", "size").agg(F.max("k").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").drop("n")
+    notes = slim.join(best, ["digest", "size"]).where(~F.col("best").eqNullSafe(F.col("k"))).groupBy("k", "digest").agg(F.first("best").alias("refers"))
+    notes = notes.select("k", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers", F.lit(0).alias("note"))
+    return rows.select("k", "url", "payload", "digest", F.lit(None).cast("bigint").alias("refers"), F.lit(1).alias("note")).union(notes)
 
 
 def _bounds(rows: DataFrame, shards: int, per_shard: int = 24) -> list[tuple[int, str]]:
@@ -186,10 +194,10 @@ def write(
     bounds = spark.sparkContext.broadcast(_bounds(id_rows, shards))
     rows = keyed(pages, key_col, payload_col, url_col, revisit_from)
 
-    schema = "k bigint, url string, payload binary, digest string, refers bigint, shard int"
+    schema = "k bigint, url string, payload binary, digest string, refers bigint, note int, shard int"
     dealt = rows.mapInArrow(_sharder(bounds), schema).repartitionById(len(bounds.value) + 1, F.col("shard"))
-    dealt = dealt.sortWithinPartitions(F.col("k").asc_nulls_first(), "digest", "url")
-    manifest = dealt.select("k", "url", "payload", "digest", "refers").mapInArrow(_writer(folder, roll_bytes), _MANIFEST)
+    dealt = dealt.sortWithinPartitions(F.col("k").asc_nulls_first(), "digest", "note", "url")
+    manifest = dealt.select("k", "url", "payload", "digest", "refers", "note").mapInArrow(_writer(folder, roll_bytes), _MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
     listed = spark.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
     done = listed.mapInArrow(_commit(folder), _MANIFEST)
