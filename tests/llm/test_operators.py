@@ -343,6 +343,14 @@ def test_lm_prefers_seen_text(spark):
     assert rows[41].bits_per_byte < rows[40].bits_per_byte
 
 
+def test_lm_counts_over_16_bits_keep_their_ratio(spark):
+    texts = ["ba " * 100_000] * 5 + ["ca " * 100_000, "ba", "ca"]
+    rows = {r.doc_id: r for r in lm_mix.score(frame(spark, texts), table_bits=14).collect()}
+    train = [not rows[i].held_out for i in range(8)]
+    ratio = sum(train[:5]) / train[5]
+    assert rows[6].score - rows[7].score == pytest.approx(np.log10(ratio), abs=0.1)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all continuations of a byte sum to one."""
     tables = np.zeros((lm_mix.ORDERS, 2, 1 << 12), dtype=np.float32)
