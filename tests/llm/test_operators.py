@@ -119,6 +119,46 @@ def test_license_rules_are_many_and_gated():
         assert key
 
 
+def example(parsed, rng):
+    """A random string that a parsed regex matches."""
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "ANY":
+            out.append("q")
+        elif name == "SUBPATTERN":
+            out.append(example(arg[3], rng))
+        elif name == "BRANCH":
+            out.append(example(rng.choice(arg[1]), rng))
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out.append({"LITERAL": lambda: chr(value), "RANGE": lambda: chr(rng.randint(*value)), "CATEGORY": lambda: "7"}[str(kind)]())
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, body = arg
+            out += [example(body, rng) for _ in range(rng.randint(low, min(int(high), low + 2)))]
+        else:
+            raise AssertionError(name)
+    return "".join(out)
+
+
+def test_license_gates_pass_all_that_their_rules_match():
+    rng = random.Random(5)
+    for _, label, _, key, rx in licenses.rules():
+        for _ in range(40):
+            text = f" {example(re._parser.parse(rx), rng)} "
+            if re.search(rf"(?<= )(?:{rx})(?= )", text):  # not where a blank ends it
+                assert licenses.gate_of(key) in text, (label, key, text)
+
+
+def test_license_names_without_other_keywords(spark):
+    texts = ["Creative Commons Attribution-ShareAlike 4.0", "licensed under the Creative Commons Attribution-NonCommercial-NoDerivs", "Do What The Fuck You Want To Public License",
+             "Public Domain Dedication and License", "Beerware License", "GPL3", "GNU LGPL2.1 or later", "AGPL3"]
+    for r in licenses.scan(frame(spark, texts)).collect():
+        assert set(r.labels.split(",")) == brute_labels(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan(frame(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
