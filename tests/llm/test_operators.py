@@ -391,6 +391,34 @@ def test_lm_counts_over_16_bits_keep_their_ratio(spark):
     assert rows[6].score - rows[7].score == pytest.approx(np.log10(ratio), abs=0.1)
 
 
+def test_lm_counts_are_exact_however_the_vocabulary_is_cut(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcé", k=rng.randrange(1, 9))).encode() + b" " for _ in range(600)} | {b"q" * 3000 + b" ", b"\n "})
+    c = np.array([rng.choice([0, 1, 5, 10**10]) for _ in words])
+    cuts = [0, 1, 170, 171, 400, len(words)]
+    blocks = [lm_mix.Block(words[a:b], c[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    grams, sums = zip(*[b.counted() for b in blocks], strict=True)
+    paths = np.split(lm_mix.gram_paths(np.concatenate(grams), np.concatenate(sums)), np.cumsum([len(g) for g in grams])[:-1])
+    bits = ["".join(f"{x:08b}" for x in w) for w in words]
+    at = 0
+    for block, gram, path in zip(blocks, grams, paths, strict=True):
+        walk = lm_mix.Walk(block, gram, path, 0)
+        for j in (0, 3, 8):
+            prefix = walk.prefix(j)
+            for i in range(0, len(block.lengths), 7):
+                for p in {0, 1, int(block.lengths[i]) - 1}:
+                    head = bits[at + i][: 8 * p + j]
+                    assert prefix[block.starts[i] + p] == sum(int(n) for n, b in zip(c, bits, strict=True) if b.startswith(head))
+        gram, path = gram[np.argsort(gram)], path[np.argsort(gram)]
+        for k in (1, 4):
+            got = path[np.searchsorted(gram, block.grams(k))]
+            for i in range(0, len(block.lengths), 40):
+                w, p = words[at + i], int(block.lengths[i]) - 1
+                want = sum(int(n) for n, v in zip(c, words, strict=True) for q in range(len(v)) if v[max(0, q - k) : q] == w[max(0, p - k) : p] and (q >= k or p >= k or q == p) and (q >= k) == (p >= k) and v[q] >> 3 == w[p] >> 3)
+                assert got[block.starts[i] + p, 5] == want
+        at += len(block.lengths)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all continuations of a byte sum to one."""
     tables = np.zeros((lm_mix.ORDERS, 2, 1 << 12), dtype=np.float32)
