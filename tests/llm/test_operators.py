@@ -419,6 +419,18 @@ def test_lm_counts_are_exact_however_the_vocabulary_is_cut(spark):
         at += len(block.lengths)
 
 
+def test_lm_fit_takes_every_token():
+    words = sorted(b"w%d " % i for i in range(60_000))
+    c = np.arange(len(words)) % 3
+    block = lm_mix.Block(words, c)
+    gram, n = block.counted()
+    mixer, walk = lm_mix.Mixer(), lm_mix.Walk(block, gram, lm_mix.gram_paths(gram, n), 1)
+    before = mixer.weights.copy()
+    mixer.step(mixer.gradient(walk))
+    assert mixer.tallies(walk)[1].sum() == 8 * (c * block.lengths).sum()
+    assert mixer.odds(walk, float(c.sum())).sum() == c.sum() and not np.allclose(mixer.weights, before)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all continuations of a byte sum to one."""
     tables = np.zeros((lm_mix.ORDERS, 2, 1 << 12), dtype=np.float32)
