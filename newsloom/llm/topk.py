@@ -52,8 +52,13 @@ class Block:
         The queries of a block read a segment together, in order of its largest quantised impact on any
         of them; each leaves as soon as its own proof holds.
         """
-        q = queries.astype(np.int32)
-        worth = q[:, self.dim] * self.value.astype(np.int32)
+        # impacts reach twice the largest product, sums of them that a dimension; 64 bits where 32 may not hold them
+        bound = 4 * self.dims * max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(self.value).max(initial=0)))
+        if bound >= 1 << 63:
+            raise ValueError("sums of products may pass 64 bits: scale the vectors down")
+        kind = np.int32 if bound < 1 << 31 else np.int64
+        q = queries.astype(kind)
+        worth = q[:, self.dim] * self.value.astype(kind)
         least = np.minimum.reduceat(worth, self.first, axis=1)
         impact = worth - least[:, self.dim]
         strongest = impact.max(axis=0)
@@ -64,7 +69,7 @@ class Block:
         part = self.x[: max(target, min(self.size, 1024))] @ queries.T
         proven = np.partition(part, len(part) - target, axis=0)[len(part) - target]
         live = np.arange(len(q))
-        score = np.repeat(least.sum(axis=1, dtype=np.int32)[None, :], self.size, axis=0)
+        score = np.repeat(least.sum(axis=1, dtype=kind)[None, :], self.size, axis=0)
         adds = np.ascontiguousarray(impact.T)
         unread = impact
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
@@ -163,7 +168,10 @@ def top_k(
     vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
     block: int = 8192, query_block: int = 256,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``, against all rows."""
+    """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``, against all rows.
+
+    Vectors whose sums of products may pass 64 bits raise a ValueError.
+    """
     value, sound = _to_ints(vector_col, scale)
     ints = vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), value.alias("v"))
     schema = "n int, ids binary, x binary"

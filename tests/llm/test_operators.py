@@ -182,6 +182,16 @@ def test_topk_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_topk_sums_over_32_bits():
+    rng = np.random.default_rng(7)
+    x = rng.integers(-12_000, 12_000, size=(600, 64))
+    x[:300] = x[0] + rng.integers(-40, 40, size=(300, 64))
+    ids = np.arange(600)
+    for j, (scores, found) in enumerate(topk.Block(ids, x).top(x[:8], ids[:8], 20)):
+        best = sorted((-int(x[j] @ x[i]), i) for i in range(600) if i != j)[:20]
+        assert best[0][0] < -(1 << 31) and list(zip((-scores).tolist(), found.tolist(), strict=True)) == best
+
+
 def test_topk_few_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
