@@ -1,21 +1,26 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
 Components become integers. Vectors are dealt into index blocks; a block keeps, per dimension, its
-vectors ordered by component value, so each run of equal values is a posting segment whose impact on
-a query is ``q_d * value`` above the least that the dimension can give. A block of queries reads
-segments by descending quantised impact into accumulators. After each level the impact that any unread segment
-can still add is known per dimension; their sum bounds what any vector can gain. Reading stops only
-for a query when a lower bound of its k-th best score proves that all but a few vectors cannot be
-members; those few are scored exactly from their components. Without proof everything is read.
-
-Query blocks meet index blocks by key, each pair a row of its own; a pair returns at most k rows a
-query, and the k best of all pairs are the answer.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
-neither as queries nor as candidates; vectors of another length than the longest common one of their
-table are refused with an error; a candidate is every row but those with the query's own id, ties go
-to the smaller id; rows with a null id take no part; repeated query ids are answered once (the
-smallest vector by its components); an empty table gives no rows.
+vectors ordered by component value. For one query the vectors whose products reach a given size in a
+dimension are the two ends of that order: those ends are its posting segments, one pair a dimension
+for each level of quantised impact. Levels are read from the largest impact down. After a level no
+unread product is larger than the level's border, so a vector's sum so far, plus that border (or the
+dimension's own largest product, if that is less) for each of its unread dimensions, is more than
+it can reach. Reading stops for a query when this proves that all but a few vectors cannot be
+members, few meaning that exact scoring costs no more than reading on; those are scored exactly.
+Without proof everything is read.
+
+The score to beat comes from exact scores: first those of the vectors of one index block, which are
+candidates like all others, then those of the vectors that lead after the first levels. Index blocks
+are dealt to tasks once, and every query block is sent to each of them; a pair of blocks gives at
+most k rows a query, and the k best of all pairs are the answer.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, neither as
+queries nor as candidates; a shorter vector counts as ending in zeros, an empty one as zeros alone;
+a candidate is every row but those with the query's own id, ties go to the smaller id; rows with a
+null id take no part; repeated query ids are answered once (the smallest vector by its components);
+an empty table gives no rows. Scores, and the integers that components become, must fit 64 bits;
+beyond that an error is raised.
 """
 
 from __future__ import annotations
@@ -24,165 +29,230 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Levels of quantised impact that are read one after another.
-LEVELS = 8
+from newsloom.llm.common import work_dir, written
+
+#: Levels of quantised impact that are read one after another; each border is RATIO of the one before.
+LEVELS, RATIO = 20, 0.85
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of ``x`` with ``q``, as 64-bit integers."""
+    most = x.shape[1] * int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0))
+    if most < 1 << 53:
+        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    if most < 1 << 63:
+        return x @ q
+    exact = x.astype(object) @ q.astype(object)
+    if any(abs(s) >= 1 << 63 for s in exact.ravel().tolist()):
+        raise ValueError("a score passes 64 bits: scale the vectors down")
+    return exact.astype(np.int64)
 
 
 class Block:
-    """An index block: ids, components, and a posting segment for each value of each dimension."""
+    """An index block: ids, components, and the vectors in order of each dimension's components."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x.astype(np.int64)
-        n, dims = x.shape
-        order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
-        self.postings = np.ascontiguousarray(order.T).ravel()
-        flat = np.take_along_axis(x, order, axis=0).T.ravel().astype(np.int64)
-        dim = np.repeat(np.arange(dims), n)
-        cut = np.flatnonzero((np.diff(flat, prepend=flat[0] - 1) != 0) | (np.arange(len(flat)) % n == 0))
-        self.value, self.dim = flat[cut], dim[cut]
-        self.a, self.b = cut, np.append(cut[1:], len(flat))
-        self.first = np.searchsorted(self.dim, np.arange(dims))  # segments are in order of dimension
-        self.size, self.dims = n, dims
-
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query: scores and ids of the k best but its own id, best first, ties to smaller ids.
-
-        The queries of a block read a segment together, in order of its largest quantised impact on any
-        of them; each leaves as soon as its own proof holds.
-        """
-        # impacts reach twice the largest product, sums of them that a dimension; 64 bits where 32 may not hold them
-        bound = 4 * self.dims * max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(self.value).max(initial=0)))
-        if bound >= 1 << 63:
-            raise ValueError("sums of products may pass 64 bits: scale the vectors down")
-        kind = np.int32 if bound < 1 << 31 else np.int64
-        q = queries.astype(kind)
-        worth = q[:, self.dim] * self.value.astype(kind)
-        least = np.minimum.reduceat(worth, self.first, axis=1)
-        impact = worth - least[:, self.dim]
-        strongest = impact.max(axis=0)
-        level = np.minimum(LEVELS - 1, strongest.astype(np.int64) * LEVELS // max(1, int(strongest.max())))
-        order = np.argsort(-level, kind="stable")
-        target = min(k + 1, self.size)
-        # k + 1 members of any part of the block bound the k-th best from below
-        part = self.x[: max(target, min(self.size, 1024))] @ queries.T
-        proven = np.partition(part, len(part) - target, axis=0)[len(part) - target]
-        live = np.arange(len(q))
-        score = np.repeat(least.sum(axis=1, dtype=kind)[None, :], self.size, axis=0)
-        adds = np.ascontiguousarray(impact.T)
-        unread = impact
-        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-        at = 0
-        for now in range(LEVELS - 1, -1, -1):
-            while at < len(order) and level[order[at]] == now:
-                s = order[at]
-                score[self.postings[self.a[s] : self.b[s]]] += adds[s]
-                at += 1
-            unread = np.where(level[None, :] >= now, 0, unread)
-            rest = np.maximum.reduceat(unread, self.first, axis=1).sum(axis=1)  # a vector has one value in a dimension
-            open_ = score >= (proven[live] - rest)[None, :]  # score + rest is an upper bound
-            done = (open_.sum(axis=0) <= max(4 * target, 64)) if now else np.ones(len(live), dtype=bool)
-            for j in np.flatnonzero(done):
-                keep = np.flatnonzero(open_[:, j])
-                exact, ids = self.x[keep] @ queries[live[j]], self.ids[keep]
-                other = ids != own[live[j]]
-                exact, ids = exact[other], ids[other]
-                ranked = np.lexsort((ids, -exact))[:k]
-                out[live[j]] = (exact[ranked], ids[ranked])
-            if done.any() and now:
-                rows = ~done
-                live, unread = live[rows], unread[rows]
-                if not len(live):
-                    break
-                score, adds = np.ascontiguousarray(score[:, rows]), np.ascontiguousarray(adds[:, rows])
-        return out
-
-
-def _to_ints(vector: str, scale: int):
-    value = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
-    sound = F.size(vector) > 0
-    sound &= ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+        self.ids, self.x = ids, np.ascontiguousarray(x, dtype=np.int64)
+        self.size, self.dims = x.shape
+        order = np.argsort(x, axis=0, kind="stable")
+        self.postings = np.ascontiguousarray(order.T).astype(np.int32).ravel()
+        self.values = np.ascontiguousarray(np.take_along_axis(self.x, order, axis=0).T).ravel().astype(np.float64)
+        shape = (self.dims, self.size)
+        self.low, self.high = (self.values.reshape(shape)[:, [0, -1]].T if self.size else np.zeros((2, self.dims)))
+        self.read = self.scored = 0  # postings read and vectors scored exactly, for all queries so far
+
+    def _ends(self, q: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each border and dimension: how many vectors at the low and at the high end have products of that size."""
+        low = np.zeros((len(border), self.dims), dtype=np.int64)
+        high = low.copy()
+        for d in np.flatnonzero(q * np.maximum(np.abs(self.low), np.abs(self.high))):
+            own = self.values[d * self.size : (d + 1) * self.size]
+            least = border / abs(q[d])
+            low[:, d] = np.searchsorted(own, -least, side="right")
+            high[:, d] = self.size - np.searchsorted(own, least, side="left")
+        return low, high
+
+    def one(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best vectors but the query's own that reach ``floor``, best first."""
+        q = query.astype(np.float64)
+        largest = np.abs(q) * np.maximum(np.abs(self.low), np.abs(self.high))
+        top = largest.max(initial=0.0)
+        slack = 1e-9 * largest.sum() if largest.sum() >= 2.0**52 else 0.0  # sums of larger numbers are rounded
+        border = np.append(0.2 * top * RATIO ** np.arange(LEVELS - 1), np.finfo(float).tiny)
+        low, high = self._ends(q, border)
+        unit = 2.0 ** np.ceil(np.log2(4 * largest.sum() + 4))  # sums and numbers of products share a float where both fit
+        joint = unit * self.dims < 2.0**52
+        both, total, reads = np.zeros(self.size), np.zeros(self.size), np.zeros(self.size)
+        unread = int((low[-1] + high[-1]).sum())
+        base = np.arange(self.dims) * self.size
+        was_low, was_high = np.zeros(self.dims, dtype=np.int64), np.zeros(self.dims, dtype=np.int64)
+        open_ = np.flatnonzero(self.ids != own)
+        led = 0
+        for j in range(LEVELS):
+            starts = np.concatenate([base + was_low, base + self.size - high[j]])
+            lengths = np.concatenate([low[j] - was_low, high[j] - was_high])
+            was_low, was_high = low[j], high[j]
+            n = int(lengths.sum())
+            if n:
+                some = np.flatnonzero(lengths)
+                ends = np.cumsum(lengths[some])
+                at = np.repeat(starts[some] - ends + lengths[some], lengths[some]) + np.arange(n)
+                who = self.postings[at]
+                product = self.values[at] * np.repeat(np.concatenate([q, q])[some], lengths[some])
+                if joint:
+                    both += np.bincount(who, product + unit, self.size)
+                else:
+                    total += np.bincount(who, product, self.size)
+                    reads += np.bincount(who, minlength=self.size)
+                self.read += n
+                unread -= n
+            if not unread:
+                break
+            if 3 * j < LEVELS:  # hardly anything can be proven yet
+                continue
+            if joint:
+                reads = np.rint(both / unit)
+                total = both - reads * unit
+            if led < 3 and n:  # the leaders' exact scores raise the score to beat
+                led += 1
+                lead = open_[np.argpartition(-total[open_], min(2 * k, len(open_) - 1))[: 2 * k]] if len(open_) > 2 * k else open_
+                if len(lead) >= k:
+                    self.scored += len(lead)
+                    floor = max(floor, float(np.partition(products(self.x[lead], query), len(lead) - k)[len(lead) - k]))
+            rest = np.minimum(border[j], largest).sum()
+            open_ = open_[total[open_] + rest - reads[open_] * border[j] + slack >= floor]
+            if len(open_) * self.dims <= unread or len(open_) <= 2 * k:
+                break
+        self.scored += len(open_)
+        exact, ids = products(self.x[open_], query), self.ids[open_]
+        ranked = np.lexsort((ids, -exact))[:k]
+        return exact[ranked], ids[ranked]
+
+
+def _components(vector: str, scale: int):
+    """Components as 64-bit integers, and whether the vector takes part."""
+    value = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
+    sound = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     return value, F.coalesce(sound, F.lit(False))
 
 
-def _packed(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    column = batch.column(name)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    n = batch.num_rows
-    if n and len(flat) % n:
-        raise ValueError("vectors differ in length")
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
-
-
-def _pack_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, ints) to rows of (number in this task, ids, components) with up to ``size`` vectors."""
-    ids, rows, held = [], [], 0
-
-    def out() -> pa.RecordBatch:
-        i, x = np.concatenate(ids), np.concatenate(rows)
-        order = np.argsort(i, kind="stable")
-        return pa.RecordBatch.from_arrays(
-            [pa.array([len(i)], pa.int32()), pa.array([i[order].astype("<i8").tobytes()], pa.binary()), pa.array([x[order].astype("<i4").tobytes()], pa.binary())],
-            names=["n", "ids", "x"],
-        )
-
-    for batch in batches:
-        for a in range(0, batch.num_rows, size):
-            part = batch.slice(a, min(size, batch.num_rows - a))
-            if held and held + part.num_rows > size:
-                yield out()
-                ids, rows, held = [], [], 0
-            x = _packed(part, "v")
-            if rows and x.shape[1] != rows[0].shape[1]:
-                raise ValueError("vectors differ in length")
-            ids.append(part.column("id").to_numpy())
-            rows.append(x)
-            held += part.num_rows
-    if held:
-        yield out()
+_PACK = "slot int, n int, dims int, width int, ids binary, x binary"
+
+
+def _packed(ids: np.ndarray, rows: list[np.ndarray]) -> list:
+    """One row of a table of blocks: vectors in order of id, in the fewest bytes a component."""
+    dims = max(map(len, rows), default=0)
+    x = np.zeros((len(rows), dims), dtype=np.int64)
+    for i, r in enumerate(rows):
+        x[i, : len(r)] = r
+    order = np.argsort(ids, kind="stable")
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or (x.min(initial=0) >= -(1 << 8 * w - 1) and x.max(initial=0) < 1 << 8 * w - 1))
+    return [len(ids), dims, width, ids[order].astype("<i8").tobytes(), x[order].astype(f"<i{width}").tobytes()]
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(row["x"], f"<i{row['width']}").reshape(row["n"], row["dims"])
+    return np.frombuffer(row["ids"], "<i8"), x.astype(np.int64)
+
+
+def _pack_rows(size: int):
+    """Rows of (id, components) to rows of up to ``size`` vectors, with this task's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = TaskContext.get().partitionId()
+        ids: list[int] = []
+        rows: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            cells = [slot, *_packed(np.array(ids, dtype=np.int64), rows)]
+            kinds = [pa.int32()] * 4 + [pa.binary()] * 2
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["slot", "n", "dims", "width", "ids", "x"])
+
+        for batch in batches:
+            names, lists = batch.column("id").to_pylist(), batch.column("v")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for i, v in zip(names, np.split(flat, ends[:-1]) if len(ends) else [], strict=True):
+                ids.append(i)
+                rows.append(v)
+                if len(ids) == size:
+                    yield out()
+                    ids.clear()
+                    rows.clear()
+        if ids:
+            yield out()
+
+    return run
+
+
+def _wide(x: np.ndarray, dims: int) -> np.ndarray:
+    return x if x.shape[1] == dims else np.pad(x, ((0, 0), (0, dims - x.shape[1])))
+
+
+def _floors(shared, k: int):
+    """Adds to each block of queries the k-th best exact score among the vectors of one index block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = shared.value
+        for batch in batches:
+            floors = []
+            for row in batch.to_pylist():
+                own, q = _unpacked(row)
+                dims = max(q.shape[1], vectors.shape[1])
+                found = np.full(len(own), -np.inf)
+                if len(names) > k:
+                    scores = products(_wide(vectors, dims), _wide(q, dims).T).astype(np.float64)
+                    scores[names[:, None] == own[None, :]] = -np.inf
+                    found = np.nextafter(np.partition(scores, len(names) - k, axis=0)[len(names) - k], -np.inf)
+                floors.append(found.astype("<f8").tobytes())
+            yield batch.append_column("floor", pa.array(floors, pa.binary()))
+
+    return run
 
 
 def _answers(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if last != (row["ids"], row["x"]):
-                    last = (row["ids"], row["x"])
-                    block = Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["x"], "<i4").reshape(row["n"], -1))
-                names = np.frombuffer(row["q_ids"], "<i8")
-                vectors = np.frombuffer(row["q_x"], "<i4").reshape(row["q_n"], -1).astype(np.int64)
-                if vectors.shape[1] != block.dims:
-                    raise ValueError("vectors differ in length")
-                answers = block.top(vectors, names, k)
-                who = [np.full(len(v), n) for n, (_, v) in zip(names.tolist(), answers, strict=True)]
-                found, scores = [v for _, v in answers], [x for x, _ in answers]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in (who, found, scores)], names=["query_id", "vec_id", "score"])
+            for row in batch.to_pylist():
+                own, q = _unpacked({c: row[f"q_{c}"] for c in ("n", "dims", "width", "ids", "x")})
+                dims = max(row["dims"], row["q_dims"])
+                if last != (row["ids"], row["x"], dims):
+                    last = (row["ids"], row["x"], dims)
+                    names, x = _unpacked(row)
+                    block = Block(names, _wide(x, dims))
+                q = _wide(q, dims)
+                answers = [block.one(v, n, k, f) for v, n, f in zip(q, own.tolist(), np.frombuffer(row["q_floor"], "<f8").tolist(), strict=True)]
+                who = np.repeat(own, [len(s) for s, _ in answers])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(who), pa.array(np.concatenate([i for _, i in answers])), pa.array(np.concatenate([s for s, _ in answers]))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def top_k(
     vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
-    block: int = 8192, query_block: int = 256,
+    block: int = 4096, query_block: int = 256,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``, against all rows.
-
-    Vectors whose sums of products may pass 64 bits raise a ValueError.
-    """
-    value, sound = _to_ints(vector_col, scale)
-    ints = vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), value.alias("v"))
-    schema = "n int, ids binary, x binary"
-    index = ints.repartition(max(1, -(-ints.count() // block)), "id").mapInArrow(lambda b: _pack_rows(b, block), schema)
+    """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``, against all rows."""
+    spark = vectors.sparkSession
+    folder = work_dir(spark, "topk")
+    value, sound = _components(vector_col, scale)
+    ints = vectors.where(sound & F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), value.alias("v"))
     asked = ints.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(lambda b: _pack_rows(b, query_block), schema)
-    # every query block is dealt to every slot of index blocks, by key
-    n = index.count()
-    index = index.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(max(1, n))))
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "x")], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, n - 1)).cast("bigint"))).alias("slot"))
-    pairs = index.join(asked, "slot").repartition(F.xxhash64("ids"), F.xxhash64("q_ids")).sortWithinPartitions("ids")
+    parts = max(1, -(-ints.count() // block))
+    index = written(ints.repartition(parts, "id").mapInArrow(_pack_rows(block), _PACK), f"{folder}/index")
+    slots = 1 + (index.agg(F.max("slot")).first()[0] or 0)
+    first = index.orderBy("slot", "ids").limit(1).collect()  # one block, whose size is a parameter
+    names, x = _unpacked(first[0].asDict()) if first else (np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
+    shared = spark.sparkContext.broadcast((names, x))
+    asked = asked.mapInArrow(_pack_rows(query_block), _PACK).mapInArrow(_floors(shared, k), f"{_PACK}, floor binary")
+    asked = written(asked, f"{folder}/asked")
+    # a block of queries goes to every index block; an index block to one task, once
+    dealt = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "width", "ids", "x", "floor")], F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    pairs = index.repartition(slots, "slot").join(dealt.repartition(slots, "slot").hint("merge"), "slot")
     found = pairs.mapInArrow(_answers(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

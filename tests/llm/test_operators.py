@@ -182,14 +182,53 @@ def test_topk_against_brute_force(spark):
     assert got == sorted(want)
 
 
-def test_topk_sums_over_32_bits():
+def best_of(x, ids, j, k=20):
+    return sorted((-sum(int(a) * int(b) for a, b in zip(x[j], x[i], strict=True)), int(ids[i])) for i in range(len(x)) if ids[i] != ids[j])[:k]
+
+
+@pytest.mark.parametrize("kind", ["wide", "huge", "negative", "equal", "sparse", "zero"])
+def test_topk_block_against_brute_force(kind):
     rng = np.random.default_rng(7)
     x = rng.integers(-12_000, 12_000, size=(600, 64))
     x[:300] = x[0] + rng.integers(-40, 40, size=(300, 64))
-    ids = np.arange(600)
-    for j, (scores, found) in enumerate(topk.Block(ids, x).top(x[:8], ids[:8], 20)):
-        best = sorted((-int(x[j] @ x[i]), i) for i in range(600) if i != j)[:20]
-        assert best[0][0] < -(1 << 31) and list(zip((-scores).tolist(), found.tolist(), strict=True)) == best
+    x = {"wide": x, "huge": x * 5_000, "negative": -abs(x), "equal": np.tile(x[:3], (200, 1)), "sparse": x * (rng.random(x.shape) < 0.05), "zero": x * 0}[kind]
+    ids = rng.permutation(5000)[:600]
+    block = topk.Block(ids, x)
+    for j in range(8):
+        scores, found = block.one(x[j], ids[j], 20)
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == best_of(x, ids, j)
+
+
+def test_topk_refuses_scores_over_64_bits():
+    x = np.full((3, 4), 1 << 33)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.Block(np.arange(3), x).one(x[0], 0, 2)
+
+
+def test_topk_of_large_unequal_and_repeated_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=3 + i % 3) * (1e6 if i % 2 else 1000)]) for i in range(150)]
+    rows += [(200, []), (201, [-5.0]), (20, [1.0, 2.0]), (40, [7.0]), (40, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, block=50, query_block=4).collect())
+    x = [(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in x if i % 20 == 0}):
+        own = min(v for i, v in x if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in x if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_stops_before_half_of_the_postings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id is not null and embedding is not null").select("vec_id", "embedding").limit(4000).collect()
+    x = np.floor(64 * np.array([r["embedding"] for r in rows], dtype=np.float64)).astype(np.int64)
+    ids = np.array([r["vec_id"] for r in rows])
+    block, asked = topk.Block(ids, x), np.flatnonzero(ids % 20 == 0)
+    for j in asked:
+        block.one(x[j], ids[j], 20)
+    assert block.read < 0.5 * len(asked) * x.size
+    assert block.scored < 0.6 * len(asked) * len(x)
 
 
 def test_topk_few_and_none(spark):
