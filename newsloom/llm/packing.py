@@ -10,9 +10,9 @@ the r-th piece of a length takes the r-th slot that the patterns hold for that l
 prefix sum of per-task counts plus a counter kept while tokenising, so no task ever gathers a
 length, however many pieces have it.
 
-Ids come from the byte-level BPE file named by the parameter; its ranks are read from the same file
-and applied with a compiled BPE. Chunks between spaces are memoised in a bounded table (frequent
-chunks come early); a text whose runs of white space cross chunks is encoded whole instead.
+Ids come from the tokenizer file named by the parameter, through ``tokenizers``. Chunks between spaces
+are memoised in a bounded table (frequent chunks come early); a text whose runs of white space cross
+chunks is encoded whole instead, and so is every text if the file is not plain byte-level BPE.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null
 doc_id is kept; an empty table gives no rows.
@@ -37,46 +37,47 @@ _RUNS = tuple(" " + c for c in _WHITE)
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes."""
+    """Token ids of a text, by the tokenizer file itself, as little-endian unsigned 32-bit bytes.
+
+    Where the file splits texts as byte-level BPE without a normalizer does, a word's ids with the space
+    before it do not depend on its neighbours: they are kept. Other files, and texts with runs of white
+    space or special tokens, are encoded whole.
+    """
 
     def __init__(self, path: str, max_chunks: int = 400_000):
-        import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # byte-level BPE files spell bytes as printable characters, in this order
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spelled = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
-        assert set(spelled) == set(pre_tokenizers.ByteLevel.alphabet())
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(spelled[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = special
+        split = spec.get("pre_tokenizer") or {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_chunk = spec.get("normalizer") is None and spec.get("post_processor") is None and (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["model"].get("dropout"))
         self.max_chunks = max_chunks
         self.chunks: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> bytes:
-        return np.asarray(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def _rare(self, chunk: str) -> bytes:
-        found = self._plain(" " + chunk)
-        if len(self.chunks) < self.max_chunks:
-            self.chunks[chunk] = found
-        return found
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        for word, i in self.special.items():
-            if word in text:
-                return np.uint32(i).astype("<u4").tobytes().join(self.ids(x) for x in text.split(word))
-        if text[-1] == " " or any(run in text for run in _RUNS):
-            return self._plain(text)
+        if not self.by_chunk or text[-1] == " " or any(run in text for run in _RUNS) or any(word in text for word in self.special):
+            return self._plain([text])[0]
         first, *rest = text.split(" ")
-        get, rare = self.chunks.get, self._rare
-        return self._plain(first) + b"".join([get(c) or rare(c) for c in rest])
+        known = self.chunks
+        new = list({c for c in rest if c not in known})
+        if new:
+            found = dict(zip(new, self._plain([" " + c for c in new]), strict=True))
+            if len(known) + len(new) <= self.max_chunks:
+                known.update(found)
+            else:
+                known = {c: known.get(c) or found[c] for c in rest}
+        return (self._plain([first])[0] if first else b"") + b"".join([known[c] for c in rest])
 
 
 def solve(demand: dict[int, int], size: int, tolerance: float = 1e-4, max_columns: int = 2500) -> list[tuple[dict[int, int], int]]:
