@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
 from newsloom.llm.common import space_words, work_dir, written
@@ -77,31 +77,31 @@ def prefix_length(n: int, share: tuple[int, int]) -> int:
 
 
 def _sets(bits: int, words: int, chunk: int = 1 << 16):
-    """Rows of documents (kind 0: id, size, class) and of this task's sketch (kind 1: chunk, counts)."""
+    """Rows of documents (kind 0: id, digest, size, class) and of this task's sketch (kind 1: chunk, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, dtype=np.uint32)
         mask = np.uint64((1 << bits) - 1)
-        names = ["kind", "doc_id", "n", "sid", "chunk", "cells"]
+        names = ["kind", "doc_id", "digest", "n", "sid", "chunk", "cells"]
 
-        def rows(kind, ids, n, sid, at, found):
+        def rows(kind, ids, digests, n, sid, at, found):
             m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(at, pa.int32()), pa.array(found, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), ids, digests, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(at, pa.int32()), pa.array(found, pa.binary())], names=names)
 
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
+            sets = [shingle_set(x, words) for x in batch.column(2).to_pylist()]
             if batch.num_rows:
                 at, many = np.unique(np.concatenate(sets) & mask, return_counts=True)
                 cells[at] += many.astype(np.uint32)
             n = [len(s) for s in sets]
-            yield rows(0, batch.column(0), n, [class_id(s) if len(s) else None for s in sets], [None] * len(n), [None] * len(n))
+            yield rows(0, batch.column(0), batch.column(1), n, [class_id(s) if len(s) else None for s in sets], [None] * len(n), [None] * len(n))
         if id_type is not None and cells.any():
             for i in range(0, len(cells), chunk):
                 part = np.minimum(cells[i : i + chunk], 65535).astype("<u2")
                 if part.any():
-                    yield rows(1, pa.nulls(1, id_type), [None], [None], [i // chunk], [zlib.compress(part.tobytes(), 1)])
+                    yield rows(1, pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [None], [None], [i // chunk], [zlib.compress(part.tobytes(), 1)])
 
     return run
 
@@ -377,7 +377,8 @@ def join(
     docs: DataFrame, share: tuple[int, int] = (4, 5), words: int = WORDS, doc_col: str = "doc_id", text_col: str = "text",
     sketch_bits: int = 24, block_shingles: int = 1_500_000,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (and sid, the class of equal sets) of each document row.
+    """doc_id, n_shingles, component_id (and sid, the class of equal sets; label, the component, null without
+    words; digest, a hash of the text) of each document row.
 
     ``share``: two sets link when |x & y| >= share * |x | y|, a fraction. ``sketch_bits``: the sketch has
     2**bits counters, whatever the corpus; more bits tell frequent shingles apart in larger corpora.
@@ -386,9 +387,9 @@ def join(
     spark = docs.sparkSession
     folder = work_dir(spark, "ngram-join")
     kind = docs.schema[doc_col].dataType.simpleString()
-    body = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    first = written(body.mapInArrow(_sets(sketch_bits, words), f"kind int, doc_id {kind}, n bigint, sid bigint, chunk int, cells binary"), f"{folder}/sets")
-    rows = first.where("kind = 0").select("doc_id", "n", "sid")
+    body = docs.select(F.col(doc_col).alias("doc_id"), _digest(text_col).alias("digest"), F.col(text_col).cast("binary").alias("raw"))
+    first = written(body.mapInArrow(_sets(sketch_bits, words), f"kind int, doc_id {kind}, digest bigint, n bigint, sid bigint, chunk int, cells binary"), f"{folder}/sets")
+    rows = first.where("kind = 0").select("doc_id", "digest", "n", "sid")
     total = rows.agg(F.sum("n")).first()[0] or 0
     # a fixed number of chunks, whatever the corpus
     graded = first.where("kind = 1").select("chunk", "cells").groupBy("chunk").applyInArrow(_grades(total / (1 << sketch_bits)), "chunk int, grade binary")
@@ -423,13 +424,7 @@ def join(
     lenders = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id")).alias("lender")).select("sid", "lender.doc_id")
     asked = written(members.select("sid").distinct().join(lenders, "sid"), f"{folder}/asked")
     # only texts that a bitmap of the asked ids lets through are shuffled; the join decides
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << ASKED_BITS) - 1))
-    cells = asked.select(F.shiftright(place, 16).cast("int").alias("chunk"), place.bitwiseAND(F.lit(65535)).cast("int").alias("at")).distinct()
-    bitmap = np.zeros(1 << ASKED_BITS - 3, dtype=np.uint8)
-    for r in cells.groupBy("chunk").applyInArrow(_bitmap, "chunk int, bits binary").collect():  # at most 2**(ASKED_BITS - 16) chunks
-        bitmap[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    filter_ = spark.sparkContext.broadcast(bitmap)
-    some = body.where(F.pandas_udf(_in_bitmap(filter_), BooleanType())(place)).withColumnRenamed("doc_id", "lent")
+    some = _perhaps(body.select("doc_id", "raw"), asked.select("doc_id")).withColumnRenamed("doc_id", "lent")
 
     def gathered(wanted: DataFrame) -> DataFrame:
         """Texts go to their groups at once: one shuffle by id, one by group. What is wanted grows with the corpus: no broadcast."""
@@ -452,20 +447,65 @@ def join(
         right = cut.join(counts, "leader").select("leader", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "blocks", "n", "sid", F.lit(False).alias("extra"))
         more = gathered(left.union(right)).mapInArrow(_linked(words, share, True), out_schema)
         edges = edges.union(written(more, f"{folder}/more").where("kind = 0").select("a", "b"))
-    labels = components(edges.distinct(), folder)
-    placed = rows.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    labels = components(edges.distinct(), folder).withColumnRenamed("v", "sid")
+    # classes before rows, and the least ids written: a join of a large component's rows can then be split
+    firsts = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first")).join(labels, "sid", "left")
+    least = firsts.groupBy(F.coalesce("label", "sid").alias("label")).agg(F.min("first").alias("least"))
+    least = written(least, f"{folder}/least")
+    placed = rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     out = placed.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "sid")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "sid", "label", "digest")
+
+
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
+def _perhaps(rows: DataFrame, keys: DataFrame, apart: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The rows that a bitmap of ``keys`` lets through: all that hold one and some others; ``apart``: also the rest.
 
+    ``keys`` has the columns to compare, which ``rows`` has too. The bitmap's size is fixed; it only saves work.
+    """
+    spark = rows.sparkSession
+    place = F.xxhash64(*keys.columns).bitwiseAND(F.lit((1 << ASKED_BITS) - 1))
+    cells = keys.select(F.shiftright(place, 16).cast("int").alias("chunk"), place.bitwiseAND(F.lit(65535)).cast("int").alias("at")).distinct()
+    bitmap = np.zeros(1 << ASKED_BITS - 3, dtype=np.uint8)
+    for r in cells.groupBy("chunk").applyInArrow(_bitmap, "chunk int, bits binary").collect():  # at most 2**(ASKED_BITS - 16) chunks
+        bitmap[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    inside = F.pandas_udf(_in_bitmap(spark.sparkContext.broadcast(bitmap)), BooleanType())(place)
+    return (rows.where(inside), rows.where(~inside)) if apart else rows.where(inside)
 
-def kept(docs: DataFrame, doc_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each component: that with the component's least id; its columns stay as they are."""
-    marks = join(docs, doc_col=doc_col, **options)
-    marks = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(marks, docs[doc_col].eqNullSafe(marks["__keep"]), "left_semi")
+
+def kept(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: one with the component's least id; its columns stay as they are.
+
+    Of a component's rows that share that id, the text with the least digest stays, and of rows that agree in
+    both, one. A null id comes after all others. Rows without words are components of their own: all stay.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_, text = f"c{names.index(doc_col)}", f"c{names.index(text_col)}"
+    folder = work_dir(docs.sparkSession, "kept")
+    marks = join(inner, doc_col=id_, text_col=text, **options).where("label is not null")
+    marks = written(marks.groupBy("label", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), f"{folder}/marks")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    best = marks.groupBy("label").agg(F.min(rank).alias("best")).select("label", "best.doc_id", "best.digest").withColumn("best", F.lit(True))
+    of = marks.alias("m").join(best.alias("b"), (F.col("m.label") == F.col("b.label")) & F.col("m.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("m.digest") == F.col("b.digest")), "left")
+    # rows that go, and rows that stay once of several: few, so that other texts are not shuffled
+    some = of.where(F.col("b.best").isNull() | (F.col("m.n") > 1)).select(F.col("m.doc_id").alias(id_), F.col("m.digest").alias("digest"), F.col("b.best").isNotNull().alias("one"))
+    some = written(some, f"{folder}/some")
+    keyed = inner.withColumn("digest", _digest(text))
+    asked, sure = _perhaps(keyed, some.select(id_, "digest"), apart=True)
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left[id_].eqNullSafe(right[id_]) & (left["digest"] == right["digest"])
+
+    free = asked.join(some, same(asked, some), "left_anti")
+    repeated = some.where("one")
+    one = asked.join(repeated, same(asked, repeated), "left_semi").groupBy(F.col(id_).alias("key"), F.col("digest").alias("text")).agg(F.min_by(F.struct(*inner.columns), F.xxhash64(*inner.columns)).alias("row")).select("row.*")
+    return sure.select(*inner.columns).union(free.select(*inner.columns)).union(one).toDF(*names)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    return join(docs, **options).drop("sid")
+    return join(docs, **options).drop("sid", "label", "digest")
 

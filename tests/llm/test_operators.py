@@ -292,6 +292,17 @@ def test_ngram_join_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want and kept.columns == DOCS.replace(",", "").split()[::2]
 
 
+def test_ngram_join_keeps_one_row_of_repeated_and_null_ids(spark):
+    t, u, v, w = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuvw")
+    rows = [(1, t), (1, t), (2, t), (None, t), (None, u), (3, v), (3, v + " more"), (3, u + " " + w), (None, ""), (None, ""), (7, None), (7, None), (7, " \n")]
+    df = spark.createDataFrame([(i, x, None, "s", k, "x", 3, b"z") for k, (i, x) in enumerate(rows)], DOCS)
+    kept = ngram_join.kept(df)
+    assert kept.schema == df.schema
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    third = {k for k in got if k[0] == 3 and k[1].startswith("v")}
+    assert len(third) == 1 and got == Counter([(1, t), (None, u), *third, (3, u + " " + w), (None, ""), (None, ""), (7, None), (7, None), (7, " \n")])
+
+
 def test_ngram_join_empty_and_null_ids(spark):
     assert ngram_join.report(frame(spark, [])).count() == 0
     df = frame(spark, ["a b c d e f", "a b c d e f", "q"]).withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
@@ -389,6 +400,27 @@ def test_packing_covers_every_id_once(spark):
     assert sequences * 1024 <= total + 0.02 * total + 1024
 
 
+def test_packing_ids_equal_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    reference, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path(), max_chunks=20_000)
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()] + ODD
+    for a in range(0, len(texts), 500):
+        part = texts[a : a + 500]
+        for t, e in zip(part, reference.encode_batch([t or "" for t in part], add_special_tokens=False), strict=True):
+            assert np.frombuffer(encoder.ids(t), "<u4").tolist() == e.ids
+
+
+def test_packing_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c " * 300), (1, "a b c " * 300), (None, "x y"), (None, None)]
+    df = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows], "doc_id bigint, text string, start int, sequence_id int, offset int")
+    got = packing.pack(df, tokenizer_path()).collect()
+    whole = sum(r["length"] for r in got)
+    each = [sum(r["length"] for r in got if r["doc_id"] == i) for i in (1, None)]
+    one = len(packing.Encoder(tokenizer_path()).ids("a b c " * 300)) // 4 + 1
+    assert whole == sum(each) and each[0] == 2 * one and sum(r["doc_id"] is None for r in got) == 2
+
+
 def test_cutting_stock_uses_the_demand_and_is_near_the_bound():
     rng = random.Random(3)
     demand = Counter(min(rng.randrange(1, 700), 512) for _ in range(20_000))
