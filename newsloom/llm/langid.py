@@ -6,11 +6,16 @@ language. A chain over the words of a text, in blocks of ``BLOCK`` words, has le
 Forward-backward gives each word's language probabilities, also where a text switches languages; the
 text's language has the largest expected share of its words, and the score is that share.
 
-Training: sequences are spliced from stretches of sample texts of different languages, so words have
-known labels and switches occur; the conditional likelihood is raised by stochastic gradients. The
-sample is bounded, its size a parameter. Emissions depend on the word alone and are remembered.
+A word is a run of letters; a run of more than ``PIECE``, as scripts without spaces have them, is cut
+into pieces of that length, each a word.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; repeated rows are
+Training: the words of the sample's texts are cut into stretches, and stretches of different languages
+spliced into sequences, so words have known labels and switches occur; the conditional likelihood is
+raised by stochastic gradients. The sample is bounded, its rows of each language a parameter; of these
+rows whole texts are learned from. Emissions depend on the word alone and are remembered.
+
+Defined results: a text that is null or has no letter is ``und`` with score 0 (letters are of the
+general category L: no digits, fractions or numerals in circles); repeated rows are
 predicted each; a null id counts as the empty text for the split; without labelled texts every text
 is ``und`` with score 0; an empty table gives no rows.
 """
@@ -18,25 +23,38 @@ is ``und`` with score 0; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.llm.common import crc_mod
+from newsloom.llm.common import crc_mod, work_dir, written
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+PIECE = 40
+#: Word characters that are neither letters nor decimal digits: superscripts, fractions, numerals.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c)[0] != "L") + "]")
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 BLOCK = 64
 BITS = 16
 LEXICON = 2000
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs of letters, those over ``PIECE`` in pieces."""
+    if not text:
+        return []
+    text = text.lower()
+    return _LETTERS.findall(text if text.isascii() else _NUMERALS.sub(" ", text))
+
+
 def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     """Hashed features of a lower-case word."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     grams = {f"n{w[i : i + k]}" for k in (2, 3) for i in range(len(w) - k + 1)}
     grams |= {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3)}
     grams |= {f"l{i}" for i in lexicon.get(word, ())}
@@ -60,7 +78,7 @@ class Model:
 
 
 def forward_backward(scores: np.ndarray, mask: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (lanes, places, labels) and summed pair marginals; masked places carry no evidence."""
+    """Marginals (lanes, places, labels) and summed pair marginals; masked places lie behind a chain's end."""
     lanes, places, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     e = np.where(mask[:, :, None], e, 1.0)
@@ -74,7 +92,7 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, transition: np.ndarra
     for i in range(places - 2, -1, -1):
         right = e[:, i + 1] * beta[:, i + 1]
         b = right @ t.T
-        beta[:, i] = b / b.sum(axis=1, keepdims=True)
+        beta[:, i] = np.where(mask[:, i + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
         joint_norm = np.einsum("li,ij,lj->l", alpha[:, i], t, right)
         scale = np.where(mask[:, i + 1], 1 / np.maximum(joint_norm, 1e-300), 0)
         pairs += t * (alpha[:, i].T @ (right * scale[:, None]))
@@ -96,13 +114,14 @@ def marginals(scores: np.ndarray, mask: np.ndarray, transition: np.ndarray) -> n
     for i in range(e.shape[1] - 2, -1, -1):
         b = (e[:, i + 1] * b) @ t.T
         b /= b.sum(axis=1, keepdims=True)
+        b[~mask[:, i + 1]] = 1.0  # nothing follows the last word
         alpha[:, i] *= b
     return alpha / alpha.sum(axis=2, keepdims=True)
 
 
-def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 4, lanes: int = 128) -> Model | None:
+def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3, lanes: int = 128) -> Model | None:
     """A model from (text, language) pairs."""
-    texts = [(_LETTERS.findall(t.lower()), lang) for t, lang in samples]
+    texts = [(words_of(t), lang) for t, lang in samples]
     texts = [(w, lang) for w, lang in texts if w]
     langs = sorted({lang for _, lang in texts})
     if not langs:
@@ -120,12 +139,14 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 4, lanes:
     model = Model(langs, {w: tuple(x) for w, x in lexicon.items()})
     rng = np.random.default_rng(seed)
     known: dict[str, list[int]] = {}
-    # stretches of up to 24 words from anywhere in a text, spliced to blocks
+    # all words of a text in stretches of 8 to 32 words, which are spliced to blocks
     stretches = []
     for words, lang in texts:
-        for _ in range(2):
-            a = int(rng.integers(0, max(1, len(words) - 24)))
-            stretches.append((words[a : a + int(rng.integers(8, 33))], index[lang]))
+        a = 0
+        while a < len(words):
+            b = a + int(rng.integers(8, 33))
+            stretches.append((words[a:b], index[lang]))
+            a = b
     k = len(langs)
     squares, t_squares = np.full(model.emission.shape, 1e-6, dtype=np.float32), np.full((k, k), 1e-6)
     for epoch in range(epochs):
@@ -137,7 +158,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 4, lanes:
                 words, label = stretches[order[at]]
                 block += [(w, label) for w in words]
                 at += 1
-            blocks.append(block[:BLOCK])
+            blocks += [block[a : a + BLOCK] for a in range(0, len(block), BLOCK)]
         for a in range(0, len(blocks), lanes):
             part = blocks[a : a + lanes]
             flat, rows, cells, gold = [], [], [], np.full((len(part), BLOCK), -1)
@@ -201,7 +222,7 @@ class Predictor:
         part: list[list[str]] = []
         size = 0
         for t in texts:
-            words = _LETTERS.findall(t.lower()) if t else []
+            words = words_of(t)
             part.append(words)
             size += len(words)
             if size > 200_000:
@@ -255,25 +276,27 @@ def _predictions(shared):
     return run
 
 
+def sample(docs: DataFrame, folds: int, held: int, per_lang: int, doc_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """text, lang of at most ``per_lang`` different training rows of each language, the first by a hash of id and text."""
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_mod(doc_col, folds) != held))
+    known = known.select(F.xxhash64(F.col(doc_col).cast("string"), text_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # keys alone are ranked, at most per_lang a language and task are shuffled
+    first = Window.partitionBy("lang").orderBy("key")
+    picked = known.select("key", "lang").withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_lang).select("key", "lang").distinct()
+    return known.join(F.broadcast(picked), ["key", "lang"], "left_semi").dropDuplicates(["key", "lang"]).select("lang", "key", "text")
+
+
 def predict(
-    docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 1200, max_langs: int = 200, max_chars: int = 20_000,
-    doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, folds: int = 3, held: int = 1, per_lang: int = 150, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document row.
 
-    Learned from at most ``per_lang`` training texts of each of the ``max_langs`` most frequent languages,
-    the first by a hash of the id; of a sample text longer than ``max_chars``, a stretch from its middle.
+    Learned from at most ``per_lang`` training rows of each language, whole texts, the first by a hash.
     """
     spark = docs.sparkSession
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_mod(doc_col, folds) != held))
-    langs = [r["lang"] for r in known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    start = F.greatest(F.lit(1), ((F.length(text_col) - max_chars) / 2).cast("int"))
-    rows: list[tuple[str, str]] = []
-    for lang in langs:
-        key = F.xxhash64(F.col(doc_col), F.lit(1))
-        part = known.where(F.col(lang_col) == lang).select(key.alias("k"), F.substr(F.col(text_col), start, F.lit(max_chars)).alias("t"))
-        rows += [(r["t"], lang) for r in part.orderBy("k", "t").limit(per_lang).collect()]
-    shared = spark.sparkContext.broadcast(train(rows))
+    rows = written(sample(docs, folds, held, per_lang, doc_col, text_col, lang_col), f"{work_dir(spark, 'language')}/sample")
+    rows = sorted((r["lang"], r["key"], r["text"]) for r in rows.toLocalIterator())
+    shared = spark.sparkContext.broadcast(train([(text, lang) for lang, _, text in rows]))
     kind = docs.schema[doc_col].dataType.simpleString()
     body = docs.select(F.col(doc_col).alias("doc_id"), (crc_mod(doc_col, folds) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return body.mapInArrow(_predictions(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -641,6 +641,59 @@ def test_language_on_held_out_rows(spark):
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
 
 
+def test_language_query_against_brute_force(spark):
+    import unicodedata
+
+    rng = random.Random(5)
+    stems = {"en": ["the", "thing", "with", "shape"], "de": ["und", "schön", "nicht", "über"], "th": ["กขค", "งจฉ", "ชซฌ"]}
+    langs = [rng.choice(sorted(stems)) for _ in range(60)]
+    texts = ["".join(rng.choice(stems[x]) + (" " if x != "th" else "") for _ in range(rng.randrange(3, 150))) for x in langs]
+    texts += ["² ½ ① Ⅷ 12 _", None, "", "the und thing nicht " * 50, "THE²with½", *texts[:2]]
+    langs += [None] * 5 + langs[:2]
+    docs = frame(spark, texts, langs)
+    rows = sorted((r["lang"], r["key"], r["text"]) for r in langid.sample(docs, 3, 1, 150, "doc_id", "text", "lang").collect())
+    model = langid.train([(t, g) for g, _, t in rows])
+    t_ = np.exp(model.transition)
+
+    def brute(text):
+        runs, run = [], ""
+        for c in (text or "").lower() + " ":
+            if unicodedata.category(c)[0] == "L":
+                run += c
+            elif run:
+                runs += [run[a : a + 40] for a in range(0, len(run), 40)]
+                run = ""
+        total = np.zeros(len(model.langs))
+        for a in range(0, len(runs), langid.BLOCK):
+            e = [np.exp((s := sum(model.emission[f] for f in langid.features(w, model.lexicon))) - s.max()).astype(float) for w in runs[a : a + langid.BLOCK]]
+            ahead = [e[0] / e[0].sum()]
+            for x in e[1:]:
+                ahead.append((ahead[-1] @ t_) * x)
+                ahead[-1] /= ahead[-1].sum()
+            back = np.ones(len(model.langs))
+            for k in range(len(e) - 1, -1, -1):
+                both = ahead[k] * back
+                total += both / both.sum()
+                back = t_ @ (e[k] * back)
+                back /= back.sum()
+        return (model.langs[int(total.argmax())], total.max() / len(runs)) if runs else ("und", 0.0)
+
+    got = {r.doc_id: r for r in langid.predict(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        lang, score = brute(t)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), t
+    assert got[60].lang_pred == "und" and got[62].lang_pred == "und"
+
+
+def test_language_of_an_empty_table(spark):
+    assert langid.predict(frame(spark, [])).count() == 0
+
+
+def test_language_features_read_the_whole_word():
+    assert langid.features("a" * 45 + "xyz", {}) != langid.features("a" * 45 + "zyx", {})
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
