@@ -6,8 +6,9 @@ run on it by lazy subset construction: a state is a set of (trie node, edits), a
 it once, dying after a few letters if nothing is near. Longer terms allow more edits, stems none.
 Fuzzy surfaces that clean sample documents use are taken out.
 
-Each hit is read in its context: quotation marks around it, or a word of reporting in the window
-before it, make it a quotation, else it is abuse. Counts of exact, fuzzy and quoted hits, their
+Words are split at typographic marks too, and zero-width characters are left out of them. Each hit is
+read in its context: a pair of quotation marks of one kind around it, within the line, or a word of
+reporting in the window before it, make it a quotation, else it is abuse. Counts of exact, fuzzy and quoted hits, their
 density and their variety go into a logistic model fitted on the sample.
 
 Near copies in the sample would make any word of theirs look telling, so one document for each of
@@ -19,6 +20,9 @@ labels the written list decides with prior weights; an empty table gives no rows
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,9 +42,14 @@ LEXICON = (
 )
 #: Words that report speech.
 REPORTS = frozenset("said says say wrote writes quoted quote quotes called calls cited reported according dijo escribió llamó dit écrit appelé sagte schrieb nannte zitat".split())
-_QUOTES = '"“”„«»'
+#: Quotations by their kind of marks, none across lines.
+_QUOTATION = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|‹[^›\n]*›|「[^」\n]*」')
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-WINDOW = 6
+_KINDS = [(chr(c), unicodedata.category(chr(c))) for c in range(128, sys.maxunicode + 1)]
+#: Characters over 0x7F that end a word: punctuation, symbols, spaces, controls; and those of no width.
+_MARKS = re.compile("[" + "".join(c for c, kind in _KINDS if kind[0] in "PSZ" or kind == "Cc") + "]")
+_NO_WIDTH = re.compile("[" + "".join(c for c, kind in _KINDS if kind == "Cf") + "]")
+WINDOW = 3
 FEATURES = 7
 
 
@@ -129,21 +138,34 @@ class Automaton:
         return (end[1], end[0]) if end else None
 
 
+def parts_of(word: str) -> list[tuple[int, str]]:
+    """(place, lower-case part) of each part of a word between typographic marks."""
+    if word.isascii():
+        return [(0, word.lower())]
+    out, at = [], 0
+    for piece in _MARKS.split(word):
+        if part := _NO_WIDTH.sub("", piece).lower():
+            out.append((at, part))
+        at += len(piece) + 1
+    return out
+
+
 class Scanner(dict):
-    """Words (bytes) to their hit, or None; remembers up to ``most`` words."""
+    """Words (bytes) to their hit (term, edits, place in the word), or None; remembers up to ``most`` words."""
 
     def __init__(self, automaton: Automaton, stop: frozenset[str] = frozenset(), most: int = 400_000):
         super().__init__()
         self.automaton, self.stop, self.most = automaton, stop, most
 
-    def __missing__(self, raw: bytes) -> tuple[str, int] | None:
-        word = raw.decode("utf-8", "replace").lower()
-        hit = self.automaton.match(word) if len(word) <= 64 else None
-        if hit and hit[1] and word in self.stop:
-            hit = None
+    def __missing__(self, raw: bytes) -> tuple[str, int, int] | None:
+        best = None
+        for at, part in parts_of(raw.decode("utf-8", "replace")):
+            hit = self.automaton.match(part)
+            if hit and not (hit[1] and part in self.stop) and (best is None or hit[1] < best[1]):
+                best = (*hit, at)
         if len(self) < self.most:
-            self[raw] = hit
-        return hit
+            self[raw] = best
+        return best
 
     def features(self, raw: bytes | None) -> np.ndarray:
         words = alnum_words(raw)
@@ -151,7 +173,7 @@ class Scanner(dict):
         out = np.zeros(FEATURES)
         if not hits:
             return out
-        quoted = _quoted(raw.decode("utf-8", "replace"), [i for i, _ in hits])
+        quoted = _quoted(raw.decode("utf-8", "replace"), [(i, h[2]) for i, h in hits])
         exact = sum(not q and not h[1] for (_, h), q in zip(hits, quoted, strict=True))
         fuzzy = sum(not q and h[1] > 0 for (_, h), q in zip(hits, quoted, strict=True))
         out[:] = (
@@ -161,19 +183,21 @@ class Scanner(dict):
         return out
 
 
-def _quoted(text: str, at: list[int]) -> list[bool]:
-    """For each hit word: is it inside quotation marks, or reported just before?"""
+def _quoted(text: str, hits: list[tuple[int, int]]) -> list[bool]:
+    """For each hit (number of the word, place in it): is it inside a quotation, or reported just before?"""
     spans = [m.span() for m in _WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in spans]
+    quotations = [m.span() for m in _QUOTATION.finditer(text)]
+    ends = [b for _, b in quotations]
     out = []
-    for i in at:
-        if i >= len(spans):
+    for i, place in hits:
+        if i >= len(spans):  # bytes that are no UTF-8
             out.append(False)
             continue
-        lo, hi = max(0, i - WINDOW), min(len(spans) - 1, i + WINDOW)
-        left, right = text[spans[lo][0] : spans[i][0]], text[spans[i][1] : spans[hi][1] + 2]
-        marks = sum(left.count(q) for q in _QUOTES) % 2 == 1 and any(q in right for q in _QUOTES)
-        out.append(marks or any(w in REPORTS for w in words[max(0, i - 3) : i]))
+        at = spans[i][0] + place
+        k = bisect_right(ends, at)
+        inside = k < len(quotations) and quotations[k][0] <= at
+        before = _MARKS.sub(" ", " ".join(text[a:b] for a, b in spans[max(0, i - WINDOW) : i])).lower().split()[-WINDOW:]
+        out.append(inside or any(w in REPORTS for w in before))
     return out
 
 
@@ -198,8 +222,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[bool, str], list[int]] = {}
     for batch in batches:
         for raw, y in zip(batch.column("raw").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            words = {w.decode("utf-8", "replace").lower() for w in alnum_words(raw)}
-            seen = {(False, w) for w in words if 3 <= len(w) <= 40}
+            words = {part for w in set(alnum_words(raw)) for _, part in parts_of(w.decode("utf-8", "replace"))}
+            seen = {(False, w) for w in words if len(w) >= 3}
             seen |= {(True, w[:k]) for w in words for k in range(4, 11) if len(w) > k}
             for t in seen:
                 counts.setdefault(t, [0, 0])[y] += 1

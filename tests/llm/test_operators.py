@@ -571,6 +571,19 @@ def test_quotation_is_not_abuse():
     assert abuse[0] == 1 and quote[0] == 0 and quote[4] > 0 and not none.any()
 
 
+def test_marks_split_words_and_quote_by_kind():
+    s = toxicity.Scanner(toxicity.Automaton(list(toxicity.LEXICON)))
+    f = lambda text: s.features(text.encode())
+    for text in ("you “idiot” there", "«moron»", "idiot’s word", "…idiot…", "id\u200biot", "—scum—", "x" * 70 + "—idiot"):
+        assert f(text).any(), text
+    for text in ("«you are a moron»", "“you are, as many others that we have met on the way, a complete idiot, you know”", "„du bist ein idiot“", '"a" b "moron"', "‹moron›"):
+        assert not f(text)[0] and f(text)[4] > 0, text
+    for text in ("“a” moron “b”", '"a" moron "b"', "“unclosed moron", "«a»\nmoron", "don’t be an idiot, it’s bad"):
+        assert f(text)[0] == 1, text
+    long = toxicity.Scanner(toxicity.Automaton({"w" * 80: 0}))
+    assert long.features(b"w" * 80)[0] == 1
+
+
 def synthetic(spark, n=400):
     rng = random.Random(8)
     good = [f"word{i}" for i in range(500)]
@@ -619,6 +632,81 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 1
 
 
+def test_toxicity_query_against_brute_force(spark):
+    import unicodedata
+
+    docs, labels, _ = synthetic(spark, 200)
+    more = ["you “idiot” there", "«you are a moron»", "he said idiot", "idiot’s scumm stupiiid", "é—scum", None]
+    extra = spark.createDataFrame([(1000 + i, t, None, "s", 1, "x", 3, b"z") for i, t in enumerate(more)], DOCS)
+    docs = docs.union(extra)
+    words, stems, stop, weights, bias = toxicity.fit(docs, labels, 4, 2, (5000, 3000), "doc_id", "text", 2000)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    known = {}
+
+    def nearest(part):
+        if part not in known:
+            stem = [s for s in stems if part.startswith(s)]
+            near = [(d, w) for w, k in words.items() if abs(len(w) - len(part)) <= k and (d := distance(part, w)) <= k]
+            known[part] = (0, min(stem, key=lambda s: (len(s), s))) if stem else min(near, default=None)
+            if known[part] and known[part][0] and part in stop:
+                known[part] = None
+        return known[part]
+
+    def brute(text):
+        text = text or ""
+        quoted, opened = [False] * len(text), []
+        pairs = {'"': '"', "“": "”", "«": "»"}
+        for line in [m.span() for m in re.finditer(r"[^\n]+", text)]:
+            at = line[0]
+            while at < line[1]:
+                end = text.find(pairs.get(text[at], "\0"), at + 1, line[1])
+                if text[at] in pairs and end > 0:
+                    quoted[at : end + 1] = [True] * (end + 1 - at)
+                    at = end
+                at += 1
+        groups, part, start, group = [], "", 0, []
+        for i, c in enumerate(text + " "):
+            inside = c.isascii() and c.isalnum() or not c.isascii() and unicodedata.category(c)[0] not in "PSZ" and unicodedata.category(c) != "Cc"
+            if inside:
+                start = i if not part else start
+                part += "" if unicodedata.category(c) == "Cf" else c.lower()
+                continue
+            if part:
+                group.append((start, part))
+                part = ""
+            if c.isascii():
+                groups += [group] if group or (i and not text[i - 1].isascii()) else []
+                group = []
+        hits, flat = [], []
+        for group in groups:
+            found = [(n[0], j, n[1], at) for j, (at, p) in enumerate(group) if (n := nearest(p))]
+            if found:
+                e, j, term, at = min(found)
+                before = flat[-3:]
+                hits.append((term, e, quoted[at] or any(p in toxicity.REPORTS for p in before)))
+            flat += [p for _, p in group]
+        if not hits:
+            return np.zeros(7)
+        exact, fuzzy = (sum(not q and (e > 0) == kind for _, e, q in hits) for kind in (False, True))
+        n = len(groups)
+        return np.array([exact > 0, np.log1p(exact), fuzzy > 0, np.log1p(fuzzy), np.log1p(sum(q for *_, q in hits)) / 2, min(1.0, 20 * (exact + fuzzy) / n), np.log1p(len({t for t, *_ in hits}))])
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    for i, t in texts.items():
+        p = 1 / (1 + np.exp(-(brute(t) @ weights + bias)))
+        assert got[i].score == pytest.approx(p, abs=1e-9) and got[i].predicted == int(p >= 0.3), t
+    assert any(r.predicted for r in got.values()) and not all(r.predicted for r in got.values())
+
+
 def test_classifiers_without_labels(spark):
     docs, none = frame(spark, ["fine words", "you idiot scum"]), spark.createDataFrame([], LABELS)
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
