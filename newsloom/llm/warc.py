@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import work_dir
+from newsloom.llm.common import drop_dir, work_dir, written
 
 #: Fixed values of the WARC/1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,16 +151,23 @@ def _commit(folder: str):
     return run
 
 
-def keyed(pages: DataFrame, key_col: str, payload_col: str, url_col: str, revisit_from: int) -> DataFrame:
+def named(pages: DataFrame, key_col: str, payload_col: str, folder: str) -> DataFrame:
+    """(k, digest, size) of each row, written: counts, boundaries and revisits come from it, not from the payloads."""
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    return written(pages.select(F.col(key_col).cast("bigint").alias("k"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), f"{folder}/named")
+
+
+def keyed(pages: DataFrame, names: DataFrame, key_col: str, payload_col: str, url_col: str, revisit_from: int, folder: str) -> DataFrame:
     """Pages as (k, url, payload, digest, note = 1), and a row without payload (note = 0, refers) for each (k, digest) to revisit.
 
     Both kinds go to the same place by (k, digest), so payloads need no join to learn what they revisit.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(key_col).cast("bigint").alias("k"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    slim = rows.where(F.col("size") >= revisit_from).select("k", "digest", "size")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    slim = names.where(F.col("size") >= revisit_from)
     best = slim.groupBy("digest", "size").agg(F.max("k").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").drop("n")
+    best = written(best, f"{folder}/best")  # so that a join with the rows of one frequent payload can be split
     notes = slim.join(best, ["digest", "size"]).where(~F.col("best").eqNullSafe(F.col("k"))).groupBy("k", "digest").agg(F.first("best").alias("refers"))
     notes = notes.select("k", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers", F.lit(0).alias("note"))
     return rows.select("k", "url", "payload", "digest", F.lit(None).cast("bigint").alias("refers"), F.lit(1).alias("note")).union(notes)
@@ -189,10 +196,11 @@ def write(
     spark = pages.sparkSession
     system, root = _file_system(folder)
     system.create_dir(f"{root}/_temporary", recursive=True)
-    id_rows = pages.select(F.col(key_col).cast("bigint").alias("k"), F.sha1(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))).alias("digest"))
-    shards = min(max_shards, max(1, -(-pages.count() // rows_per_shard)))
-    bounds = spark.sparkContext.broadcast(_bounds(id_rows, shards))
-    rows = keyed(pages, key_col, payload_col, url_col, revisit_from)
+    aside = work_dir(spark, "warc-names")
+    names = named(pages, key_col, payload_col, aside)
+    shards = min(max_shards, max(1, -(-names.count() // rows_per_shard)))
+    bounds = spark.sparkContext.broadcast(_bounds(names, shards))
+    rows = keyed(pages, names, key_col, payload_col, url_col, revisit_from, aside)
 
     schema = "k bigint, url string, payload binary, digest string, refers bigint, note int, shard int"
     dealt = rows.mapInArrow(_sharder(bounds), schema).repartitionById(len(bounds.value) + 1, F.col("shard"))
@@ -200,10 +208,11 @@ def write(
     manifest = dealt.select("k", "url", "payload", "digest", "refers", "note").mapInArrow(_writer(folder, roll_bytes), _MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
     listed = spark.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
-    done = listed.mapInArrow(_commit(folder), _MANIFEST)
+    done = _by_file(listed).mapInArrow(_commit(folder), _MANIFEST)
     done.write.parquet(f"{folder}/_committed")
     with system.open_output_stream(f"{root}/_SUCCESS") as f:
         f.write(json.dumps({"shards": len(bounds.value) + 1, "roll_bytes": roll_bytes}).encode())
+    drop_dir(spark, aside)
     return spark.read.schema(manifest.schema).parquet(f"{folder}/_committed")
 
 
@@ -261,9 +270,14 @@ def _reader(folder: str):
     return run
 
 
+def _by_file(manifest: DataFrame, most: int = 50_000) -> DataFrame:
+    """The manifest's rows dealt to as many tasks as there are files, up to ``most``; a stated number is not coalesced."""
+    return manifest.repartition(min(most, max(1, manifest.count())), "name")
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
-    files = manifest.select("name").repartition(F.col("name"))
+    files = _by_file(manifest.select("name"))
     return files.mapInArrow(_reader(folder), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
 
 

@@ -69,6 +69,23 @@ def test_warc_shards_do_not_depend_on_partitions(spark, tmp_path):
     assert sums[0] == sums[1] and len(sums[0]) > 5
 
 
+def test_warc_is_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, None, f"{i} " * 400, "d", 0) for i in range(80)]
+    manifest = warc.write(pages(spark, rows), str(tmp_path / "w"), rows_per_shard=5)
+    files = manifest.count()
+    found = warc.read(manifest, str(tmp_path / "w"))
+    used = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert files >= 8 and spark.conf.get("spark.sql.adaptive.enabled") == "true" and used > files // 3
+
+
+def test_warc_long_payloads_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "é" * 3_000_000, 7, "n", 9), (2, "u", "é" * 3_000_000, 7, "n", 9), (3, "u", "", 7, "n", 9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, size int, note string, shard int")
+    got = sorted(tuple(r)[:5] for r in warc.read(warc.write(df, str(tmp_path / "w")), str(tmp_path / "w")).collect())
+    long, none = hashlib.sha1(("é" * 3_000_000).encode()).hexdigest(), hashlib.sha1(b"").hexdigest()
+    assert got == [(1, 6_000_000, long, "revisit", 2), (2, 6_000_000, long, "response", None), (3, 0, none, "response", None)]
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
