@@ -214,11 +214,21 @@ def _starts_with(phrase: str):
 
 
 def _found(normal: Column, low: Column, book: list[tuple[int, str, int, str, str]]) -> Column:
-    """Intervals of all matches of the rules whose keyword the text holds."""
-    rows = [{"i": i, "label": label, "tier": tier, "key": gate_of(key), "rx": f"(?i)(?<= )(?:{rx})(?= )"} for i, label, tier, key, rx in book]
-    # one constant: Catalyst folds it once
-    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<i:int,label:string,tier:int,key:string,rx:string>>")
-    tried = F.filter(table, lambda r: F.contains(low, r["key"]))
+    """Intervals of all matches of the rules whose keyword the text holds.
+
+    A keyword's rules are first tried together, by one constant regex that is compiled once; only where one of
+    them matches are they told apart, by regexes that are compiled for the text.
+    """
+    kind = "array<struct<i:int,label:string,tier:int,rx:string>>"
+    groups: dict[str, list[dict]] = {}
+    for i, label, tier, key, rx in book:
+        groups.setdefault(gate_of(key), []).append({"i": i, "label": label, "tier": tier, "rx": rx})
+    some = []
+    for gate, rows in groups.items():
+        whole = "(?i)(?<= )(?:" + "|".join(f"(?:{r['rx']})" for r in rows) + ")(?= )"
+        table = F.from_json(F.lit(json.dumps([r | {"rx": f"(?i)(?<= )(?:{r['rx']})(?= )"} for r in rows])), kind)  # folded to a constant
+        some.append(F.when(F.contains(low, F.lit(gate)) & normal.rlike(whole), table).otherwise(F.array().cast(kind)))
+    tried = F.flatten(F.array(*some))
 
     def spans(r: Column) -> Column:
         gaps = F.transform(F.split(normal, r["rx"]), lambda s: F.length(s))
