@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontam, langid, licenses, lm_mix, ngram_join, packing, quality, topk, toxicity, warc
+from newsloom.llm import decontam, langid, licenses, lm_chain, lm_mix, ngram_join, packing, quality, topk, toxicity, warc
 from newsloom.llm.common import alnum_words, crc_mod_py, space_words
 from newsloom.llm.queries import tokenizer_path
 
@@ -462,7 +462,7 @@ def test_packing_empty(spark):
 def test_lm_base_score_against_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choices(["the", "of", "cat", "Dog", "ZEBRA,", "é", *(f"r{i}" for i in range(30))], k=rng.randrange(0, 80))) for _ in range(60)] + ODD
-    rows = {r.doc_id: r for r in lm_mix.score(frame(spark, texts), table_bits=14, block_bytes=2000).collect()}
+    rows = {r.doc_id: r for r in lm_mix.score(frame(spark, texts), block_bytes=2000).collect()}
     tokens = [[*space_words(t.encode() if t else None), b"\n"] for t in texts]
     held = [crc_mod_py(i, 10) == 0 for i in range(len(texts))]
     c = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
@@ -477,16 +477,175 @@ def test_lm_base_score_against_brute_force(spark):
 
 def test_lm_prefers_seen_text(spark):
     texts = ["the cat sat on the mat and the dog ran to the cat"] * 40 + ["qx zzkw vvpq xxj wqqz the kkjx"] + ["the dog sat on the mat and the cat ran"]
-    rows = {r.doc_id: r for r in lm_mix.score(frame(spark, texts), table_bits=14).collect()}
+    rows = {r.doc_id: r for r in lm_mix.score(frame(spark, texts)).collect()}
     assert rows[41].bits_per_byte < rows[40].bits_per_byte
 
 
-def test_lm_counts_over_16_bits_keep_their_ratio(spark):
-    texts = ["ba " * 100_000] * 5 + ["ca " * 100_000, "ba", "ca"]
-    rows = {r.doc_id: r for r in lm_mix.score(frame(spark, texts), table_bits=14).collect()}
-    train = [not rows[i].held_out for i in range(8)]
-    ratio = sum(train[:5]) / train[5]
-    assert rows[6].score - rows[7].score == pytest.approx(np.log10(ratio), abs=0.1)
+def test_lm_counts_over_16_bits_keep_their_ratio():
+    words = [b"\n ", b"ba ", b"ca "]
+    block = lm_mix.Block(words, np.array([7, 5 * 10**7, 10**7]))
+    gram, n = block.counted()
+    mixer = lm_mix.Mixer()
+    mixer.weights[:, :-1] = 1 / lm_mix.ORDERS
+    lp = mixer.spelled(lm_mix.Walk(block, gram, lm_mix.gram_paths(gram, n), 0)) / np.log(10)
+    assert lp[1] - lp[2] == pytest.approx(np.log10(5), abs=0.1)
+
+
+def chain_by_hand(chain, texts, train, prices, counts, n_texts, size):
+    """The chain one token at a time, with dictionaries of counts of all training texts."""
+    one, two, three = counts
+    squash = lambda x: 1 / (1 + np.exp(-min(12, max(-12, x))))
+    out = []
+    for words, mine in zip(texts, train, strict=True):
+        own = [Counter(words), Counter(zip([None, *words], words, strict=False)), Counter(zip([None, *words], words, words[1:], strict=False))]
+        own = own if mine else [Counter()] * 3
+        total = 0.0
+        for i, w in enumerate(words):
+            if i % size == 0:
+                weights, maps = chain.weights.copy(), chain.map.copy()
+                runs, hits, tries = [0] * 3, [0.5] * 3, [1.0] * 3
+            a, b = (words[i - 2] if i > 1 else None), (words[i - 1] if i else None)
+            places = []
+            back = next((j for j in range(i - 2, -1, -1) if words[j] == b), None) if i else None
+            places.append(None if back is None else (float(words[back + 1] == w), i - 1 - back))
+            n = two[a, b] - own[1][a, b] if i else 0
+            places.append((min(1.0, (three[a, b, w] - own[2][a, b, w]) / n), n) if n > 0 else None)
+            n = one[b] - own[0][b] if i else n_texts - mine
+            places.append((min(1.0, (two[b, w] - own[1][b, w]) / n), n) if n > 0 else None)
+            state = []
+            for k, place in enumerate(places):
+                if place is None:
+                    state.append((0.0, 0.0))
+                    continue
+                cell = min(lm_chain.CELLS - 1, int(np.log2(max(place[1], 1) + 0.5)))
+                z = np.array([*(np.log(p / (1 - p)) for p in (chain.by_cell[k, cell], chain.by_run[k, runs[k]], hits[k] / tries[k])), 0.3])
+                g = min(runs[k], 2)
+                s = float(weights[k, g] @ z)
+                m = min(16, max(0, int(np.rint(2 * s + 8))))
+                state.append((min(1 - 1e-4, max(1e-4, (squash(s) + maps[k, m]) / 2)), place[0], z, g, squash(s), m))
+            p = np.exp(np.longdouble(prices[w]))
+            wholes = []
+            for yes, said, *_ in reversed(state):
+                p = yes * said + (1 - yes) * p
+                wholes.append(p)
+            total += float(np.log(p))
+            reach = 1.0
+            for k, (st, whole) in enumerate(zip(state, reversed(wholes), strict=True)):
+                if len(st) < 3:
+                    continue
+                yes, said, z, g, mix, m = st
+                share = float(yes * said / whole)
+                weights[k, g] += lm_chain.RATE * reach * (share - mix) * z
+                maps[k, m] += lm_chain.REFINE * reach * (share - maps[k, m])
+                hits[k] += reach * share
+                tries[k] += reach
+                runs[k] = min(runs[k] + 1, 15) if share > 0.5 else 0 if reach > 0.5 else runs[k]
+                reach *= 1 - share
+        out.append(total)
+    return out
+
+
+def chain_texts(seed=3, n=40):
+    rng = random.Random(seed)
+    texts = [rng.choices(range(12), k=rng.randrange(0, 40)) + [12] for _ in range(n)]
+    return texts + [list(texts[3]), list(texts[4]), [12], texts[5][:-1] * 3 + [12]]
+
+
+def test_lm_chain_against_one_token_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm_chain, "STRETCH", 17)
+    texts = chain_texts()
+    rng = np.random.default_rng(1)
+    train = rng.random(len(texts)) < 0.8
+    learnt = [t for t, y in zip(texts, train, strict=True) if y]
+    counts = [Counter(w for t in learnt for w in t), Counter(x for t in learnt for x in zip([None, *t], t, strict=False)), Counter(x for t in learnt for x in zip([None, *t], t, t[1:], strict=False))]
+    prices = np.log(rng.dirichlet(np.ones(13)))
+    prices[5] = -900.0  # a very long token
+    hashes = rng.integers(1, 1 << 63, size=13).astype(np.uint64)
+    chain = lm_chain.Chain()
+    chain.by_cell, chain.by_run = rng.uniform(0.1, 0.9, (3, lm_chain.CELLS)), rng.uniform(0.1, 0.9, (3, lm_chain.RUNS))
+    chain.weights, chain.map = rng.normal(size=chain.weights.shape) / 2, rng.uniform(0.1, 0.9, chain.map.shape)
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
+    grams = lm_chain.Grams(ids, starts, hashes)
+    slots, at = grams.slots(50)
+    held = np.bincount(at, grams.counts(np.repeat(train, lengths)), len(slots)).astype(np.int64)
+    places = lm_chain.Places(grams, starts, train, np.array([counts[0][w] for w in range(13)]), int(train.sum()), held[at])
+    got, sums = chain.run(places, starts, prices[ids], train)
+    want = chain_by_hand(chain, texts, train, prices, counts, int(train.sum()), 17)
+    assert np.allclose(np.add.reduceat(got, starts), want, rtol=1e-9)
+    again, none = chain.run(places, starts, prices[ids])
+    assert np.array_equal(got, again) and not len(none)
+    before = np.add.reduceat(got, starts)[train].sum()
+    chain.fit(sums)
+    assert np.add.reduceat(chain.run(places, starts, prices[ids])[0], starts)[train].sum() > before
+
+
+def test_lm_gram_totals_over_blocks_and_shards():
+    texts, rng = chain_texts(7, 60), np.random.default_rng(2)
+    hashes = rng.integers(1, 1 << 63, size=13).astype(np.uint64)
+    blocks = [texts[:20], texts[20:21], texts[21:]]
+    made = []
+    for block in blocks:
+        lengths = np.array([len(t) for t in block])
+        made.append(lm_chain.Grams(np.concatenate(block), np.cumsum(lengths) - lengths, hashes))
+    for shards in (1, 7):
+        asked = [list(lm_mix.gram_requests(g, np.ones(len(g.ids), dtype=bool), 20, shards)) for g in made]
+        found = [[] for _ in blocks]
+        for shard in range(shards):
+            own = [(b, s, c) for b, rows in enumerate(asked) for at, s, c in rows if at == shard]
+            if own:
+                rest = lm_chain.totals([np.cumsum(lm_chain.unpack(s)) for _, s, _ in own], [lm_chain.unpack(c) for *_, c in own])
+                for (b, *_), x in zip(own, rest, strict=True):
+                    found[b].append(lm_chain.unpack(lm_chain.pack(x)))
+        every = Counter()
+        for g in made:
+            for slot, n in zip((g.hashes >> np.uint64(44)).tolist(), g.counts(np.ones(len(g.ids), dtype=bool)).tolist(), strict=True):
+                every[slot] += n
+        for g, rest in zip(made, found, strict=True):
+            slots, at = g.slots(20)
+            mine = np.bincount(at, g.counts(np.ones(len(g.ids), dtype=bool)), len(slots))
+            assert (np.concatenate(rest) + mine).tolist() == [every[s] for s in slots.tolist()]
+
+
+def test_lm_query_against_one_process(spark):
+    """The whole query over several blocks against the same steps in memory, token by token."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 7))) for _ in range(120)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 121), k=rng.randrange(0, 60))) for _ in range(50)] + ODD[:6]
+    texts += texts[:3]
+    got = {r.doc_id: r for r in lm_mix.score(frame(spark, texts), block_bytes=1500, pack_bytes=1 << 20).collect()}
+    tokens = [[*space_words(t.encode() if t else None), b"\n"] for t in texts]
+    train = [crc_mod_py(i, 10) != 0 for i in range(len(texts))]
+    learnt = [t for t, y in zip(tokens, train, strict=True) if y]
+    counts = [Counter(w for t in learnt for w in t), Counter(x for t in learnt for x in zip([None, *t], t, strict=False)), Counter(x for t in learnt for x in zip([None, *t], t, t[1:], strict=False))]
+    names = sorted({w + b" " for t in tokens for w in t})
+    block = lm_mix.Block(names, np.array([counts[0][w[:-1]] for w in names]))
+    gram, n = block.counted()
+    path, total = lm_mix.gram_paths(gram, n), float(sum(counts[0].values()))
+    mixer, walk = lm_mix.Mixer(), lm_mix.Walk(block, gram, path, 1)
+    for _ in range(2):
+        mixer.step(mixer.gradient(walk))
+    cells, odds = mixer.tallies(walk), mixer.odds(walk, total)
+    mixer.set_share(odds)
+    mixer.set_map(cells)
+    lp = mixer.priced(lm_mix.Walk(block, gram, path, 0), total).astype(np.float32).astype(np.float64) * np.log(10)
+    prices = {w[:-1]: x for w, x in zip(names, lp.tolist(), strict=True)}
+    number = {w[:-1]: i for i, w in enumerate(names)}
+    ids, lengths = np.array([number[w] for t in tokens for w in t]), np.array([len(t) for t in tokens])
+    starts, chain = np.cumsum(lengths) - lengths, lm_chain.Chain()
+    grams = lm_chain.Grams(ids, starts, np.arange(1, len(names) + 1, dtype=np.uint64) << np.uint64(40))
+    held = grams.counts(np.repeat(train, lengths))
+    places = lm_chain.Places(grams, starts, np.array(train), block.c, sum(train), held)
+    chain.fit(chain.run(places, starts, lp[ids], np.array(train))[1])
+    want = chain_by_hand(chain, tokens, train, prices, counts, sum(train), lm_chain.STRETCH)
+    for i, x in enumerate(want):
+        assert got[i].score * np.log(10) == pytest.approx(x, rel=2e-3), i
+
+
+def test_lm_held_out_score_beats_the_unigram_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held, base = lm_mix.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held > 0.7 * base  # both are negative
 
 
 def test_lm_counts_are_exact_however_the_vocabulary_is_cut(spark):
@@ -530,30 +689,20 @@ def test_lm_fit_takes_every_token():
 
 
 def test_spelling_is_a_distribution():
-    """Probabilities of all continuations of a byte sum to one."""
-    tables = np.zeros((lm_mix.ORDERS, 2, 1 << 12), dtype=np.float32)
-    words = [b"cat", b"car", b"dog"]
-    lm_mix.add_counts(tables, words, np.array([5.0, 2.0, 1.0]), 12)
-    model = lm_mix.Bits(tables, 12)
-    model.fit(words, np.array([5.0, 2.0, 1.0]))
-    every = [bytes([b]) for b in range(256) if b != 32]
-    first = 0.0
-    for b in every:
-        flat, contexts, _ = lm_mix._contexts([b])
-        node = np.ones(1, dtype=np.uint64)
-        p = 1.0
-        for shift in range(7, -1, -1):
-            bit = (flat[0] >> shift) & 1
-            x, gate = model._inputs([h[:1] for h in contexts], node)
-            q = float(np.clip(model._mapped((x * model.weights[gate]).sum(axis=1), gate), 1e-7, 1 - 1e-7)[0])
-            p *= q if bit else 1 - q
-            node = node * np.uint64(2) + np.uint64(bit)
-        first += p
-    assert 0.9 < first <= 1.0 + 1e-9  # the rest is the closing space
+    """Probabilities of all tokens of one byte sum to less than one."""
+    words = [bytes([b]) + b" " for b in range(256) if b != 32]
+    c = np.array([1000 if w[0] in b"abc" else 0 for w in words])
+    block = lm_mix.Block(words, c)
+    gram, n = block.counted()
+    path = lm_mix.gram_paths(gram, n)
+    mixer = lm_mix.Mixer()
+    mixer.step(mixer.gradient(lm_mix.Walk(block, gram, path, 1)))
+    mixer.set_map(mixer.tallies(lm_mix.Walk(block, gram, path, 1)))
+    assert 0.9 < np.exp(mixer.spelled(lm_mix.Walk(block, gram, path, 0))).sum() <= 1 + 1e-6
 
 
 def test_lm_empty(spark):
-    assert lm_mix.score(frame(spark, []), table_bits=12).count() == 0
+    assert lm_mix.score(frame(spark, [])).count() == 0
 
 
 # --- classifiers -------------------------------------------------------------------------------
