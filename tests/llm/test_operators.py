@@ -496,23 +496,21 @@ def test_lm_counts_over_16_bits_keep_their_ratio():
 
 def chain_by_hand(chain, texts, train, prices, counts, n_texts, size):
     """The chain one token at a time, with dictionaries of counts of all training texts."""
-    one, two, three = counts
+    one, two = counts
     squash = lambda x: 1 / (1 + np.exp(-min(12, max(-12, x))))
     out = []
     for words, mine in zip(texts, train, strict=True):
-        own = [Counter(words), Counter(zip([None, *words], words, strict=False)), Counter(zip([None, *words], words, words[1:], strict=False))]
-        own = own if mine else [Counter()] * 3
+        own = [Counter(words), Counter(zip([None, *words], words, strict=False))]
+        own = own if mine else [Counter()] * 2
         total = 0.0
         for i, w in enumerate(words):
             if i % size == 0:
                 weights, maps = chain.weights.copy(), chain.map.copy()
-                runs, hits, tries = [0] * 3, [0.5] * 3, [1.0] * 3
-            a, b = (words[i - 2] if i > 1 else None), (words[i - 1] if i else None)
+                runs, hits, tries = [0] * 2, [0.5] * 2, [1.0] * 2
+            b = words[i - 1] if i else None
             places = []
             back = next((j for j in range(i - 2, -1, -1) if words[j] == b), None) if i else None
             places.append(None if back is None else (float(words[back + 1] == w), i - 1 - back))
-            n = two[a, b] - own[1][a, b] if i else 0
-            places.append((min(1.0, (three[a, b, w] - own[2][a, b, w]) / n), n) if n > 0 else None)
             n = one[b] - own[0][b] if i else n_texts - mine
             places.append((min(1.0, (two[b, w] - own[1][b, w]) / n), n) if n > 0 else None)
             state = []
@@ -560,12 +558,12 @@ def test_lm_chain_against_one_token_at_a_time(monkeypatch):
     rng = np.random.default_rng(1)
     train = rng.random(len(texts)) < 0.8
     learnt = [t for t, y in zip(texts, train, strict=True) if y]
-    counts = [Counter(w for t in learnt for w in t), Counter(x for t in learnt for x in zip([None, *t], t, strict=False)), Counter(x for t in learnt for x in zip([None, *t], t, t[1:], strict=False))]
+    counts = [Counter(w for t in learnt for w in t), Counter(x for t in learnt for x in zip([None, *t], t, strict=False))]
     prices = np.log(rng.dirichlet(np.ones(13)))
     prices[5] = -900.0  # a very long token
     hashes = rng.integers(1, 1 << 63, size=13).astype(np.uint64)
     chain = lm_chain.Chain()
-    chain.by_cell, chain.by_run = rng.uniform(0.1, 0.9, (3, lm_chain.CELLS)), rng.uniform(0.1, 0.9, (3, lm_chain.RUNS))
+    chain.by_cell, chain.by_run = rng.uniform(0.1, 0.9, (2, lm_chain.CELLS)), rng.uniform(0.1, 0.9, (2, lm_chain.RUNS))
     chain.weights, chain.map = rng.normal(size=chain.weights.shape) / 2, rng.uniform(0.1, 0.9, chain.map.shape)
     ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
     starts = np.cumsum(lengths) - lengths
@@ -615,7 +613,7 @@ def test_lm_query_against_one_process(spark):
     tokens = [[*space_words(t.encode() if t else None), b"\n"] for t in texts]
     train = [crc_mod_py(i, 10) != 0 for i in range(len(texts))]
     learnt = [t for t, y in zip(tokens, train, strict=True) if y]
-    counts = [Counter(w for t in learnt for w in t), Counter(x for t in learnt for x in zip([None, *t], t, strict=False)), Counter(x for t in learnt for x in zip([None, *t], t, t[1:], strict=False))]
+    counts = [Counter(w for t in learnt for w in t), Counter(x for t in learnt for x in zip([None, *t], t, strict=False))]
     names = sorted({w + b" " for t in tokens for w in t})
     block = lm_mix.Block(names, np.array([counts[0][w[:-1]] for w in names]))
     gram, n, _ = block.counted()
@@ -634,7 +632,7 @@ def test_lm_query_against_one_process(spark):
 def test_lm_held_out_score_beats_the_unigram_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held, base = lm_mix.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held > 0.65 * base  # both are negative
+    assert held > 0.75 * base  # both are negative
 
 
 def test_lm_counts_are_exact_however_the_vocabulary_is_cut(spark):
