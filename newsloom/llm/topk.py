@@ -10,7 +10,7 @@ it can reach. Reading stops for a query when this proves that all but a few vect
 members, few meaning that exact scoring costs no more than reading on; those are scored exactly.
 Without proof everything is read.
 
-The score to beat comes from exact scores: first those of the vectors of one index block, which are
+The score to beat comes from exact scores: first those of about one index block's vectors, which are
 candidates like all others, then those of the vectors that lead after the first levels. Index blocks
 are dealt to tasks once, and every query block is sent to each of them; a pair of blocks gives at
 most k rows a query, and the k best of all pairs are the answer.
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.llm.common import work_dir, written
 
-#: Levels of quantised impact that are read one after another; each border is RATIO of the one before.
-LEVELS, RATIO = 20, 0.85
+#: Levels of quantised impact that are read one after another: all down to FIRST of the largest, then down by RATIO.
+LEVELS, FIRST, RATIO = 14, 0.065, 0.85
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -58,50 +58,55 @@ class Block:
         self.ids, self.x = ids, np.ascontiguousarray(x, dtype=np.int64)
         self.size, self.dims = x.shape
         order = np.argsort(x, axis=0, kind="stable")
-        self.postings = np.ascontiguousarray(order.T).astype(np.int32).ravel()
+        self.postings = np.ascontiguousarray(order.T).ravel()
         self.values = np.ascontiguousarray(np.take_along_axis(self.x, order, axis=0).T).ravel().astype(np.float64)
         shape = (self.dims, self.size)
         self.low, self.high = (self.values.reshape(shape)[:, [0, -1]].T if self.size else np.zeros((2, self.dims)))
         self.read = self.scored = 0  # postings read and vectors scored exactly, for all queries so far
 
     def _ends(self, q: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each border and dimension: how many vectors at the low and at the high end have products of that size."""
-        low = np.zeros((len(border), self.dims), dtype=np.int64)
+        """For each query, border and dimension: how many vectors at the low and at the high end have products of that size."""
+        low = np.zeros((*border.shape, self.dims), dtype=np.int64)
         high = low.copy()
-        for d in np.flatnonzero(q * np.maximum(np.abs(self.low), np.abs(self.high))):
+        for d in np.flatnonzero(np.maximum(np.abs(self.low), np.abs(self.high))):
+            asked = np.flatnonzero(q[:, d])
             own = self.values[d * self.size : (d + 1) * self.size]
-            least = border / abs(q[d])
-            low[:, d] = np.searchsorted(own, -least, side="right")
-            high[:, d] = self.size - np.searchsorted(own, least, side="left")
+            least = border[asked] / np.abs(q[asked, d])[:, None]
+            low[asked, :, d] = np.searchsorted(own, -least, side="right")
+            high[asked, :, d] = self.size - np.searchsorted(own, least, side="left")
         return low, high
 
-    def one(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best vectors but the query's own that reach ``floor``, best first."""
-        q = query.astype(np.float64)
-        largest = np.abs(q) * np.maximum(np.abs(self.low), np.abs(self.high))
-        top = largest.max(initial=0.0)
-        slack = 1e-9 * largest.sum() if largest.sum() >= 2.0**52 else 0.0  # sums of larger numbers are rounded
-        border = np.append(0.2 * top * RATIO ** np.arange(LEVELS - 1), np.finfo(float).tiny)
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query: scores and ids of the k best vectors but the query's own that reach its floor, best first."""
+        q = queries.astype(np.float64)
+        largest = np.abs(q) * np.maximum(np.abs(self.low), np.abs(self.high))[None, :]
+        steps = np.append(FIRST * RATIO ** np.arange(LEVELS - 1), 0.0)
+        border = np.maximum(largest.max(axis=1, initial=0.0)[:, None] * steps, np.finfo(float).tiny)
         low, high = self._ends(q, border)
+        for i in range(len(q)):
+            yield self._one(queries[i], q[i], int(own[i]), k, -np.inf if floors is None else float(floors[i]), largest[i], border[i], low[i], high[i])
+
+    def _one(self, query, q, own, k, floor, largest, border, low, high) -> tuple[np.ndarray, np.ndarray]:
+        slack = 1e-9 * largest.sum() if largest.sum() >= 2.0**52 else 0.0  # sums of larger numbers are rounded
         unit = 2.0 ** np.ceil(np.log2(4 * largest.sum() + 4))  # sums and numbers of products share a float where both fit
         joint = unit * self.dims < 2.0**52
         both, total, reads = np.zeros(self.size), np.zeros(self.size), np.zeros(self.size)
         unread = int((low[-1] + high[-1]).sum())
-        base = np.arange(self.dims) * self.size
-        was_low, was_high = np.zeros(self.dims, dtype=np.int64), np.zeros(self.dims, dtype=np.int64)
+        ends = np.arange(1, self.dims + 1) * self.size
+        was_low, was_high = ends - self.size, ends
         open_ = np.flatnonzero(self.ids != own)
         led = 0
         for j in range(LEVELS):
-            starts = np.concatenate([base + was_low, base + self.size - high[j]])
-            lengths = np.concatenate([low[j] - was_low, high[j] - was_high])
-            was_low, was_high = low[j], high[j]
-            n = int(lengths.sum())
+            # the two ends of a dimension that this level adds
+            to_low, to_high = ends - self.size + low[j], ends - high[j]
+            starts, stops = np.concatenate([was_low, to_high]), np.concatenate([to_low, was_high])
+            was_low, was_high = to_low, to_high
+            some = np.flatnonzero(stops > starts)
+            n = int((stops - starts).sum())
             if n:
-                some = np.flatnonzero(lengths)
-                ends = np.cumsum(lengths[some])
-                at = np.repeat(starts[some] - ends + lengths[some], lengths[some]) + np.arange(n)
-                who = self.postings[at]
-                product = self.values[at] * np.repeat(np.concatenate([q, q])[some], lengths[some])
+                spans = list(zip(starts[some].tolist(), stops[some].tolist(), strict=True))
+                who = np.concatenate([self.postings[a:b] for a, b in spans])
+                product = np.concatenate([self.values[a:b] for a, b in spans]) * np.repeat(q[some % self.dims], stops[some] - starts[some])
                 if joint:
                     both += np.bincount(who, product + unit, self.size)
                 else:
@@ -111,8 +116,6 @@ class Block:
                 unread -= n
             if not unread:
                 break
-            if 3 * j < LEVELS:  # hardly anything can be proven yet
-                continue
             if joint:
                 reads = np.rint(both / unit)
                 total = both - reads * unit
@@ -128,6 +131,8 @@ class Block:
                 break
         self.scored += len(open_)
         exact, ids = products(self.x[open_], query), self.ids[open_]
+        best = exact >= floor
+        exact, ids = exact[best], ids[best]
         ranked = np.lexsort((ids, -exact))[:k]
         return exact[ranked], ids[ranked]
 
@@ -224,7 +229,7 @@ def _answers(k: int):
                     names, x = _unpacked(row)
                     block = Block(names, _wide(x, dims))
                 q = _wide(q, dims)
-                answers = [block.one(v, n, k, f) for v, n, f in zip(q, own.tolist(), np.frombuffer(row["q_floor"], "<f8").tolist(), strict=True)]
+                answers = list(block.top(q, own, k, np.frombuffer(row["q_floor"], "<f8")))
                 who = np.repeat(own, [len(s) for s, _ in answers])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(who), pa.array(np.concatenate([i for _, i in answers])), pa.array(np.concatenate([s for s, _ in answers]))], names=["query_id", "vec_id", "score"])
@@ -234,7 +239,7 @@ def _answers(k: int):
 
 def top_k(
     vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
-    block: int = 8192, query_block: int = 256,
+    block: int = 4096, query_block: int = 256,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``, against all rows."""
     spark = vectors.sparkSession
@@ -245,9 +250,12 @@ def top_k(
     parts = max(1, -(-ints.count() // block))
     index = written(ints.repartition(parts, "id").mapInArrow(_pack_rows(block), _PACK), f"{folder}/index")
     slots = 1 + (index.agg(F.max("slot")).first()[0] or 0)
-    first = index.orderBy("slot", "ids").limit(1).collect()  # one block, whose size is a parameter
-    names, x = _unpacked(first[0].asDict()) if first else (np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
-    shared = spark.sparkContext.broadcast((names, x))
+    # blocks of any vectors, up to about the size of one, give a first score to beat; their vectors are candidates like all
+    ahead = index.agg(F.count(F.lit(1)), F.sum("n")).first()
+    some = [_unpacked(r.asDict()) for r in index.orderBy("slot", "ids").limit(max(1, block * ahead[0] // max(1, ahead[1] or 0))).collect()]
+    dims = max([x.shape[1] for _, x in some], default=0)
+    names = np.concatenate([n for n, _ in some]) if some else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast((names, np.concatenate([_wide(x, dims) for _, x in some]) if some else np.zeros((0, 0), np.int64)))
     asked = asked.mapInArrow(_pack_rows(query_block), _PACK).mapInArrow(_floors(shared, k), f"{_PACK}, floor binary")
     asked = written(asked, f"{folder}/asked")
     # a block of queries goes to every index block; an index block to one task, once

@@ -211,15 +211,14 @@ def test_topk_block_against_brute_force(kind):
     x = {"wide": x, "huge": x * 5_000, "negative": -abs(x), "equal": np.tile(x[:3], (200, 1)), "sparse": x * (rng.random(x.shape) < 0.05), "zero": x * 0}[kind]
     ids = rng.permutation(5000)[:600]
     block = topk.Block(ids, x)
-    for j in range(8):
-        scores, found = block.one(x[j], ids[j], 20)
+    for j, (scores, found) in enumerate(block.top(x[:8], ids[:8], 20)):
         assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == best_of(x, ids, j)
 
 
 def test_topk_refuses_scores_over_64_bits():
     x = np.full((3, 4), 1 << 33)
     with pytest.raises(ValueError, match="64 bits"):
-        topk.Block(np.arange(3), x).one(x[0], 0, 2)
+        list(topk.Block(np.arange(3), x).top(x[:1], np.zeros(1, int), 2))
 
 
 def test_topk_of_large_unequal_and_repeated_vectors(spark):
@@ -242,8 +241,9 @@ def test_topk_stops_before_half_of_the_postings(spark):
     x = np.floor(64 * np.array([r["embedding"] for r in rows], dtype=np.float64)).astype(np.int64)
     ids = np.array([r["vec_id"] for r in rows])
     block, asked = topk.Block(ids, x), np.flatnonzero(ids % 20 == 0)
-    for j in asked:
-        block.one(x[j], ids[j], 20)
+    for j, (scores, found) in zip(asked.tolist(), block.top(x[asked], ids[asked], 20), strict=True):
+        if j < 400:
+            assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == best_of(x, ids, j)
     assert block.read < 0.5 * len(asked) * x.size
     assert block.scored < 0.6 * len(asked) * len(x)
 
