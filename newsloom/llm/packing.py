@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,17 +35,20 @@ from newsloom.llm.common import work_dir, written
 SIZE = 1024
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 _RUNS = tuple(" " + c for c in _WHITE)
+#: Letters, then marks that are neither letters, numbers nor white space: one piece each of the byte-level pattern.
+_WORD = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]*)")
 
 
 class Encoder:
     """Token ids of a text, by the tokenizer file itself, as little-endian unsigned 32-bit bytes.
 
     Where the file splits texts as byte-level BPE without a normalizer does, a word's ids with the space
-    before it do not depend on its neighbours: they are kept. Other files, and texts with runs of white
-    space or special tokens, are encoded whole.
+    before it do not depend on its neighbours: they are kept. There letters alone, and marks alone, are
+    single pieces, which go to the file's model at once. Other files, and texts with runs of white space
+    or special tokens, are encoded whole.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000):
+    def __init__(self, path: str, max_chunks: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
@@ -54,30 +58,49 @@ class Encoder:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_chunk = spec.get("normalizer") is None and spec.get("post_processor") is None and (
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["model"].get("dropout"))
+        # byte-level BPE spells bytes as printable characters, in this order
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelled = str.maketrans({chr(b): chr(b) if b in printed else chr(256 + b - sum(p < b for p in printed)) for b in range(256)})
         self.max_chunks = max_chunks
         self.chunks: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Of what the file's pattern takes as one piece."""
+        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.spelled))], dtype="<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Of a word and the space before it; a word and the marks behind it are kept apart."""
+        word = _WORD.fullmatch(chunk)
+        known = self.chunks
+        if word and word[2]:
+            marks = self.marks.get(word[2])
+            if marks is None:
+                marks = self._piece(word[2])
+                if len(self.marks) < 10_000:
+                    self.marks[word[2]] = marks
+            found = (known.get(word[1]) or self._chunk(word[1])) + marks
+        else:
+            found = self._piece(" " + chunk) if word else self._whole(" " + chunk)
+        if len(known) < self.max_chunks:
+            known[chunk] = found
+        return found
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_chunk or text[-1] == " " or any(run in text for run in _RUNS) or any(word in text for word in self.special):
-            return self._plain([text])[0]
+            return self._whole(text)
         first, *rest = text.split(" ")
-        known = self.chunks
-        new = list({c for c in rest if c not in known})
-        if new:
-            found = dict(zip(new, self._plain([" " + c for c in new]), strict=True))
-            if len(known) + len(new) <= self.max_chunks:
-                known.update(found)
-            else:
-                known = {c: known.get(c) or found[c] for c in rest}
-        return (self._plain([first])[0] if first else b"") + b"".join([known[c] for c in rest])
+        get, chunk = self.chunks.get, self._chunk
+        return (self._whole(first) if first else b"") + b"".join([get(c) or chunk(c) for c in rest])
 
 
 def solve(demand: dict[int, int], size: int, tolerance: float = 1e-4, max_columns: int = 2500) -> list[tuple[dict[int, int], int]]:
