@@ -23,21 +23,20 @@ is ``und`` with score 0; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom.llm.common import crc_mod, work_dir, written
 
 PIECE = 40
-#: Word characters that are neither letters nor decimal digits: superscripts, fractions, numerals.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c)[0] != "L") + "]")
+#: Word characters that are neither letters nor decimal digits: superscripts, fractions, numerals. Few texts have any.
+_NUMERALS = regex.compile(r"\p{No}|\p{Nl}|[^\W\d_\p{L}]")
 _LETTERS = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
 BLOCK = 64
 BITS = 16
@@ -48,8 +47,7 @@ def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters, those over ``PIECE`` in pieces."""
     if not text:
         return []
-    text = text.lower()
-    return _LETTERS.findall(text if text.isascii() else _NUMERALS.sub(" ", text))
+    return _LETTERS.findall(_NUMERALS.sub(" ", text.lower()))
 
 
 def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
@@ -202,19 +200,25 @@ class Predictor:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(model.langs)), dtype=np.float32)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _learn(self, words: list[str]) -> None:
+        """Emissions of new words into the table."""
+        missing = list({w for w in words if w not in self.rows})
+        if len(self.rows) + len(missing) > self.most:
+            self.rows.clear()
+            missing = list(set(words))
+        n = len(self.rows)
+        while len(self.table) < n + len(missing):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n : n + len(missing)] = self.model.word_scores(missing)
+        self.rows.update(zip(missing, range(n, n + len(missing)), strict=True))
+
+    def _words(self, text: str | None) -> list[str]:
+        """As ``words_of``; runs that were met before hold no numerals and are not looked at again."""
+        words = _LETTERS.findall(text.lower()) if text else []
         rows = self.rows
-        missing = list({w for w in words if w not in rows})
-        if missing:
-            if len(rows) + len(missing) > self.most:
-                rows.clear()
-                missing = list(set(words))
-            n = len(rows)
-            while len(self.table) < n + len(missing):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[n : n + len(missing)] = self.model.word_scores(missing)
-            rows.update(zip(missing, range(n, n + len(missing)), strict=True))
-        return np.array([rows[w] for w in words], dtype=np.int64)
+        if any(w not in rows and not w.isascii() and _NUMERALS.search(w) for w in words):
+            return words_of(text)
+        return words
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """For each text its language and score."""
@@ -222,7 +226,7 @@ class Predictor:
         part: list[list[str]] = []
         size = 0
         for t in texts:
-            words = words_of(t)
+            words = self._words(t)
             part.append(words)
             size += len(words)
             if size > 200_000:
@@ -257,8 +261,9 @@ class Predictor:
         return out
 
     def table_of(self, words: list[str]) -> np.ndarray:
-        numbers = self._numbers(words)
-        return self.table[numbers]
+        self._learn(words)
+        rows = self.rows
+        return self.table[np.array([rows[w] for w in words], dtype=np.int64)]
 
 
 def _predictions(shared):
