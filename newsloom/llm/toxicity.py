@@ -20,14 +20,13 @@ labels the written list decides with prior weights; an empty table gives no rows
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -45,10 +44,9 @@ REPORTS = frozenset("said says say wrote writes quoted quote quotes called calls
 #: Quotations by their kind of marks, none across lines.
 _QUOTATION = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|‹[^›\n]*›|「[^」\n]*」')
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_KINDS = [(chr(c), unicodedata.category(chr(c))) for c in range(128, sys.maxunicode + 1)]
 #: Characters over 0x7F that end a word: punctuation, symbols, spaces, controls; and those of no width.
-_MARKS = re.compile("[" + "".join(c for c, kind in _KINDS if kind[0] in "PSZ" or kind == "Cc") + "]")
-_NO_WIDTH = re.compile("[" + "".join(c for c, kind in _KINDS if kind == "Cf") + "]")
+_MARKS = regex.compile(r"[^\P{P}\x00-\x7F]|[^\P{S}\x00-\x7F]|[^\P{Z}\x00-\x7F]|[\x80-\x9F]")
+_NO_WIDTH = regex.compile(r"\p{Cf}")
 WINDOW = 3
 FEATURES = 7
 
