@@ -240,7 +240,7 @@ def _term_rows(counts: dict[tuple[bool, str], list[int]]) -> pa.RecordBatch:
     )
 
 
-def _least_gain(tallies: list[tuple[int, int]], share: float, alpha: float = 0.2) -> float:
+def _least_gain(tallies: list[tuple[int, int]], share: float, alpha: float = 0.05) -> float:
     """The gain that chance reaches in ``alpha`` of all samples, over the terms that could reach it at all."""
     reach = sorted(((total * -np.log(share), n) for total, n in tallies), reverse=True)
     able = 0
