@@ -34,11 +34,14 @@ from newsloom.llm.common import work_dir, written
 
 SIZE = 1024
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-_RUNS = tuple(" " + c for c in _WHITE)
 #: Letters, then marks that are neither letters, numbers nor white space: one piece each of the byte-level pattern.
 _WORD = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]*)")
 
 
+class _Run(Exception):
+    """White space follows a space: a text's chunks cannot be told apart by spaces."""
+
+
 class Encoder:
     """Token ids of a text, by the tokenizer file itself, as little-endian unsigned 32-bit bytes.
 
@@ -78,6 +81,8 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         """Of a word and the space before it; a word and the marks behind it are kept apart."""
+        if not chunk or chunk[0] in _WHITE:
+            raise _Run
         word = _WORD.fullmatch(chunk)
         known = self.chunks
         if word and word[2]:
@@ -96,11 +101,14 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_chunk or text[-1] == " " or any(run in text for run in _RUNS) or any(word in text for word in self.special):
+        if not self.by_chunk or any(word in text for word in self.special):
             return self._whole(text)
         first, *rest = text.split(" ")
         get, chunk = self.chunks.get, self._chunk
-        return (self._whole(first) if first else b"") + b"".join([get(c) or chunk(c) for c in rest])
+        try:
+            return (self._whole(first) if first else b"") + b"".join([get(c) or chunk(c) for c in rest])
+        except _Run:
+            return self._whole(text)
 
 
 def solve(demand: dict[int, int], size: int, tolerance: float = 1e-4, max_columns: int = 2500) -> list[tuple[dict[int, int], int]]:
