@@ -978,3 +978,69 @@ def test_forward_backward_against_enumeration():
 def test_word_splitting():
     t = "Ab-c É9_x\x7f\x00y ﬁ"
     assert [w.decode() for w in alnum_words(t.encode())] == words_of(t)
+
+
+# --- pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_against_its_parts(spark, tmp_path):
+    """run() over a fixture with toxic, poor, near-equal, repeated and contaminated rows, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good = [f"word{i}" for i in range(500)]
+    texts, labels = [], []
+    for i in range(240):
+        toxic, junk = rng.random() < 0.3, rng.random() < 0.3
+        w = [rng.choice(good) for _ in range(60)]
+        if toxic:
+            w[rng.randrange(60)] = rng.choice(["idiot", "scum", "idi0t"])
+        if junk:
+            w = [x.upper() + "!!" for x in w[:20] * 3]
+        texts.append(" ".join(w))
+        labels.append((i, int(not junk), int(toxic)))
+    item = " ".join(rng.choice(good) for _ in range(20))
+    clean = [i for i, q, t in labels if q and not t]
+    texts += [texts[clean[0]], texts[clean[1]] + " tail", None, ""]
+    texts += [" ".join([*rng.choices(good, k=20), item, *rng.choices(good, k=20)]) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[clean[3]], (None, texts[clean[4]], "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("b1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    known = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "ngram_jaccard", "decontamination", "packing"]
+
+    # the first two by the scores of their operators, each on what the one before left
+    def bag(df):
+        return Counter((r.doc_id, r.text) for r in df.collect())
+
+    first = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    bad = {r.doc_id for r in toxicity.score(docs, known).collect() if r.predicted}
+    assert first.schema == docs.schema and bag(first) == Counter((i, t) for i, t, *_ in rows if i not in bad) and bad
+    second = corpus_pipeline.keep_quality(spark, first, str(tmp_path))
+    poor = {r.doc_id for r in quality.score(first, known).collect() if not r.predicted}
+    left = [(i, t) for i, t, *_ in rows if i not in bad and i not in poor]
+    assert bag(second) == Counter(left) and poor - {None}
+    # then one row of each component of equal or near texts, by brute force
+    groups = {}
+    for (i, t), (_, n, top) in zip(left, brute_components([t for _, t in left]), strict=True):
+        groups.setdefault(top if n else object(), []).append((i is None, i, t))
+    stay = [min(g, key=lambda r: (r[0], r[1] or 0)) for g in groups.values()]
+    third = corpus_pipeline.drop_near_copies(spark, second, str(tmp_path))
+    assert Counter(r.doc_id for r in third.collect()) == Counter(i for _, i, _ in stay) and len(stay) < len(left)
+    # then no contaminated text, by windows of 13 words
+    window = item.split()
+    hit = {i for _, i, t in stay if t and any(" ".join(window[a : a + 13]) in t for a in range(8))}
+    want = {i for _, i, _ in stay if i not in hit}
+    assert hit
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == want
+    encoder = packing.Encoder(tokenizer_path())
+    sizes = Counter()
+    for r in got:
+        sizes[r.doc_id] += r.length
+    for _, i, t in stay:
+        if i is not None and i in want:
+            assert sizes[i] == len(encoder.ids(t)) // 4 + 1
