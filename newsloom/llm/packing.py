@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,12 @@ class Encoder:
             return self._whole(text)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker: what it knows of words serves all the worker's tasks."""
+    return Encoder(path)
+
+
 def solve(demand: dict[int, int], size: int, tolerance: float = 1e-4, max_columns: int = 2500) -> list[tuple[dict[int, int], int]]:
     """Patterns (length to copies) with their counts that use exactly ``demand`` (length to pieces).
 
@@ -239,7 +246,7 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 def _pieces(path: str, size: int, end_id: int, doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, dtype=np.int64)
