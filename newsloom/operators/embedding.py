@@ -40,10 +40,17 @@ class HashingEmbedder:
         from hashlib import blake2b
 
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        place: dict[str, int] = {}  # terms come again
         for i, text in enumerate(texts):
             words = [w for w in _TOKEN.findall(text.lower()) if w not in STOP_WORDS]
+            at = []
             for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-                out[i, int.from_bytes(blake2b(term.encode(), digest_size=8).digest(), "big") % self.dim] += 1
+                p = place.get(term)
+                if p is None:
+                    p = place[term] = int.from_bytes(blake2b(term.encode(), digest_size=8).digest(), "big") % self.dim
+                at.append(p)
+            if at:
+                out[i] = np.bincount(at, minlength=self.dim)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(lengths == 0, 1, lengths)).astype(np.float32)
 

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from newsloom.functions import text as T
 from newsloom.functions import vectors as V
 from newsloom.operators import briefs, clusters, dedup, embedding, evaluation, events, market, serving
 from newsloom.operators.tickers import Finder
-from newsloom.plans import replay
+from newsloom.plans import queries, replay
 from newsloom.sources import parsers
 from newsloom.sources import replay as feeds
 from newsloom.streaming import streams
@@ -403,3 +404,68 @@ def test_machine_scores_and_briefs():
     second = m.tick(120_000, rows, {})[0]
     assert first["rank"] == 1 and first["market"] == pytest.approx(0.7 * (1 - math.exp(-1)), abs=1e-6) and second["market"] is None
     assert second["score"] == pytest.approx(0.5 * second["raw_score"] + 0.5 * first["raw_score"], abs=2e-6) and first["brief"] == second["brief"]
+
+
+def plain_kmeans(x, k, seed=7, starts=3, steps=100):
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        c = [x[rng.integers(len(x))]]
+        d = ((x - c[0]) ** 2).sum(axis=1)
+        for _ in range(1, k):
+            c.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
+            d = np.minimum(d, ((x - c[-1]) ** 2).sum(axis=1))
+        c, labels = np.array(c), None
+        for _ in range(steps):
+            new = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            if labels is not None and (new == labels).all():
+                break
+            labels = new
+            for j in set(labels.tolist()):
+                c[j] = x[labels == j].mean(axis=0)
+        inertia = ((x - c[labels]) ** 2).sum()
+        if best is None or inertia < best[2] - 1e-12:
+            best = labels, c, inertia
+    return best
+
+
+def test_kmeans_that_skips_vectors_equals_lloyd():
+    rng = np.random.default_rng(5)
+    for n, k in ((400, 7), (60, 20), (5, 5)):
+        x = rng.normal(size=(n, 6)) + rng.integers(0, 4, size=(n, 1))
+        x[: n // 3] = x[n // 3 : 2 * (n // 3)]  # copies
+        for mine in (clusters.kmeans(x, k), clusters.kmeans(x.astype(np.float32), k)):
+            want = plain_kmeans(x, k)
+            assert (mine[0] == want[0]).all() and np.allclose(mine[1], want[1], atol=1e-5) and mine[2] == pytest.approx(want[2], rel=1e-5)
+
+
+def test_run_equals_one_machine_over_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    articles, bars = queries.articles_for_replay(spark, sf), queries.bars_for_replay(spark, sf)
+    step = 3_600_000
+    got = replay.run(articles, bars, 2 * step, 6 * step, 4 * step).toPandas().sort_values(["snapshot_ms", "rank"])
+    seen, moves = replay.tick_inputs(articles, bars, 2 * step, 6 * step, 4 * step)
+    moves = {due: {r.symbol: (r.sigmas, 0.0) for r in own.itertuples()} for due, own in moves.toPandas().groupby("due_ms")}
+    machine, want = replay.Machine(), []
+    for now, rows in seen.toPandas().sort_values(["due_ms", "published_ms", "id"]).groupby("due_ms"):
+        want += machine.tick(int(now), rows, moves.get(now, {}), step // 2, 6 * step)
+    assert len(want) == len(got) > 20 and got["brief"].notna().sum() > 5
+    for w, g in zip(want, got.to_dict("records"), strict=True):
+        g["tickers"] = list(g["tickers"])
+        assert {c: None if g[c] is None or g[c] != g[c] else g[c] for c in w} == w
+
+
+def test_the_machine_of_a_run_holds_one_tick(spark):
+    e = embedding.HashingEmbedder(16)
+    rows = pd.DataFrame({"id": list("abcde"), "source": "fed", "prior": 0.9, "published_ms": range(5), "tickers": [["BTC"]] * 5, "vector": list(e.embed(["Fed holds"] * 5))})
+    made = replay._window(True)((pa.scalar(60_000),), pa.Table.from_pandas(rows.assign(moves=[[{"symbol": "BTC", "sigmas": 2.0}]] * 5)))
+    read = []
+
+    def pieces():
+        for due in (60_000, 120_000):
+            read.append(due)
+            yield made.set_column(0, "due_ms", pa.array([due] * made.num_rows)).to_batches()[0]
+
+    out = replay._told(3_600_000)(pieces())
+    first = next(out)
+    assert first.column("due_ms").to_pylist() == [60_000] and read == [60_000, 120_000] and "title" not in str(made.schema)
+    assert [b.column("due_ms")[0].as_py() for b in out] == [60_000, 120_000, 120_000]
