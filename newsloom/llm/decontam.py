@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import alnum_words
+from newsloom.llm.common import alnum_words, entered
 
 N = 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -131,6 +131,7 @@ def scan(
 
 def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered("decontamination")
         windows = WindowSet(*shared.value)
         for batch in batches:
             if not batch.num_rows:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-from newsloom.llm.common import space_words, work_dir, written
+from newsloom.llm.common import entered, space_words, work_dir, written
 
 WORDS = 5
 #: log2 of the bits of the bitmap that keeps texts without candidates out of a shuffle.
@@ -80,7 +80,8 @@ def _sets(bits: int, words: int, chunk: int = 1 << 16):
     """Rows of documents (kind 0: id, digest, size, class) and of this task's sketch (kind 1: chunk, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, dtype=np.uint32)
+        entered("ngram_join")
+        cells = np.zeros(1 << bits, dtype=np.uint16)  # more than 65535 counts as that
         mask = np.uint64((1 << bits) - 1)
         names = ["kind", "doc_id", "digest", "n", "sid", "chunk", "cells"]
 
@@ -89,17 +90,18 @@ def _sets(bits: int, words: int, chunk: int = 1 << 16):
             return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), ids, digests, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(at, pa.int32()), pa.array(found, pa.binary())], names=names)
 
         id_type = None
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            sets = [shingle_set(x, words) for x in batch.column(2).to_pylist()]
-            if batch.num_rows:
+        for whole in batches:
+            id_type = whole.schema.field(0).type
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                sets = [shingle_set(x, words) for x in batch.column(2).to_pylist()]
                 at, many = np.unique(np.concatenate(sets) & mask, return_counts=True)
-                cells[at] += many.astype(np.uint32)
-            n = [len(s) for s in sets]
-            yield rows(0, batch.column(0), batch.column(1), n, [class_id(s) if len(s) else None for s in sets], [None] * len(n), [None] * len(n))
+                cells[at] = np.minimum(cells[at] + many, 65535)
+                n = [len(s) for s in sets]
+                yield rows(0, batch.column(0), batch.column(1), n, [class_id(s) if len(s) else None for s in sets], [None] * len(n), [None] * len(n))
         if id_type is not None and cells.any():
             for i in range(0, len(cells), chunk):
-                part = np.minimum(cells[i : i + chunk], 65535).astype("<u2")
+                part = cells[i : i + chunk].astype("<u2", copy=False)
                 if part.any():
                     yield rows(1, pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [None], [None], [i // chunk], [zlib.compress(part.tobytes(), 1)])
 
@@ -127,6 +129,7 @@ def _grades(load: float):
 
 def _postings(shared, words: int, share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered("ngram_join")
         bits, packed = shared.value
         grade = np.frombuffer(zlib.decompress(packed), np.uint8)
         mask = np.uint64((1 << bits) - 1)

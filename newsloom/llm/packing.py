@@ -31,7 +31,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.llm.common import work_dir, written
+from newsloom.llm.common import entered, work_dir, written
 
 SIZE = 1024
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -114,7 +114,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One encoder a Python worker: what it knows of words serves all the worker's tasks."""
+    """One encoder a Python worker: what it knows of words serves all the worker's tasks, until another operator's come."""
     return Encoder(path)
 
 
@@ -246,6 +246,7 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 def _pieces(path: str, size: int, end_id: int, doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered("packing", encoder_of.cache_clear)
         encoder = encoder_of(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
         part = TaskContext.get().partitionId()

@@ -30,7 +30,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import alnum_words, crc_mod, work_dir, written
+from newsloom.llm.common import alnum_words, crc_mod, entered, work_dir, written
 from newsloom.llm.training import labelled_sample, logistic
 
 #: Insults known beforehand.
@@ -204,6 +204,7 @@ def _quoted(text: str, hits: list[tuple[int, int]]) -> list[bool]:
 
 def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three least hashes of word triples of each sample document."""
+    entered("toxicity")
     salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
     for batch in batches:
         rows = []
@@ -217,6 +218,7 @@ def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, stem, pos, neg): documents of this task with each word, and with each start of a word."""
+    entered("toxicity")
     counts: dict[tuple[bool, str], list[int]] = {}
     for batch in batches:
         for raw, y in zip(batch.column("raw").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -294,6 +296,7 @@ def _feature_rows(shared, keep: tuple[str, ...]):
 
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered("toxicity")
         words, stems, stop, weights, bias = shared.value
         scanner = Scanner(Automaton(words, stems), stop)
         for batch in batches:
@@ -380,6 +383,7 @@ def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_col
     schema = inner.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered("toxicity")
         words, stems, stop, weights, bias = shared.value
         scanner = Scanner(Automaton(words, stems), stop)
         text = names.index(text_col)

@@ -10,11 +10,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontam, langid, licenses, lm_chain, lm_mix, ngram_join, packing, quality, topk, toxicity, warc
-from newsloom.llm.common import alnum_words, crc_mod_py, space_words
+from newsloom.llm.common import alnum_words, crc_mod_py, entered, space_words
 from newsloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, y string, label int, raw binary"
@@ -456,6 +457,24 @@ def test_packing_empty(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_what_packing_keeps_in_a_worker_goes_when_another_operator_starts():
+    packing.encoder_of(tokenizer_path())
+    entered("packing", packing.encoder_of.cache_clear)
+    entered("packing", packing.encoder_of.cache_clear)
+    assert packing.encoder_of.cache_info().currsize == 1
+    assert not list(ngram_join._sets(16, 5)(iter([]))) and packing.encoder_of.cache_info().currsize == 0
+
+
+def test_ngram_sketch_counts_up_to_65535_in_two_bytes(monkeypatch):
+    made, zeros = [], np.zeros
+    monkeypatch.setattr(ngram_join.np, "zeros", lambda *a, **k: made.append(zeros(*a, **k)) or made[-1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(70_000)), pa.array([0] * 70_000), pa.array([b"a"] * 69_999 + [b"b"])], names=["doc_id", "digest", "raw"])
+    rows = pa.Table.from_batches(ngram_join._sets(16, 5)(iter([batch, batch.slice(0, 0)]))).to_pylist()
+    cells = np.frombuffer(zlib.decompress(next(r["cells"] for r in rows if r["kind"] == 1)), "<u2")
+    assert sorted(cells[cells > 0].tolist()) == [1, 65535] and sum(r["kind"] == 0 for r in rows) == 70_000
+    assert max(x.nbytes for x in made) == 2 << 16
+
+
 # --- language model ----------------------------------------------------------------------------
 
 
