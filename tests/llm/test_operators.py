@@ -731,6 +731,18 @@ def test_spelling_against_one_token_at_a_time_and_sums_below_one():
     assert np.exp(got).sum() <= 1
 
 
+def test_mixer_ends_in_a_map_that_moves_after_each_bit():
+    mixer = lm_mix.Mixer()
+    sign = np.where(np.arange(12_000) % 4 == 0, 1.0, -1.0)  # a quarter are ones, whatever the mix says
+    s = np.full(12_000, 1.1) * sign
+    p = 1 / (1 + np.exp(-s))
+    assert np.array_equal(mixer.refined(s, p, 3, sign), p)  # nothing was seen before
+    later = mixer.refined(s, p, 3, sign)
+    one = 1 / (1 + np.exp(-1.1))
+    assert np.allclose(later, np.where(sign > 0, (3 * one + 0.25) / 4, (3 * (1 - one) + 0.75) / 4), atol=1e-3)
+    assert np.array_equal(mixer.refined(s, p, 4, sign), p) and mixer.seen.sum() == pytest.approx(36_000)
+
+
 def test_lm_empty(spark):
     assert lm_mix.score(frame(spark, [])).count() == 0
 
