@@ -438,6 +438,52 @@ def test_kmeans_that_skips_vectors_equals_lloyd():
             assert (mine[0] == want[0]).all() and np.allclose(mine[1], want[1], atol=1e-5) and mine[2] == pytest.approx(want[2], rel=1e-5)
 
 
+def plain_silhouette(x, labels):
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(length == 0, 1, length)
+    far, out = 1 - u @ u.T, []
+    np.fill_diagonal(far, 0)
+    for i, own in enumerate(labels):
+        if (labels == own).sum() == 1:
+            out.append(0.0)
+            continue
+        a = far[i, labels == own].sum() / ((labels == own).sum() - 1)
+        b = min(far[i, labels == j].mean() for j in set(labels.tolist()) - {own})
+        out.append((b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+def test_silhouette_by_sums_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 5)) + 2 * np.eye(5)[rng.integers(0, 3, 90)]
+    x[:2], x[10:20] = 0, x[20:30]
+    labels = rng.integers(0, 4, 90)
+    labels[labels == 3] = 5  # a name that is no place
+    labels[50] = 9  # alone
+    for own in (x, x.astype(np.float32)):
+        assert clusters.silhouette(own, labels) == pytest.approx(plain_silhouette(own.astype(float), labels), abs=1e-9)
+    assert clusters.silhouette(x, np.zeros(90, dtype=int)) is None and clusters.silhouette(x, np.arange(90)) is None
+
+
+def test_number_of_clusters_comes_from_all_vectors():
+    rng = np.random.default_rng(9)
+    x = rng.normal(scale=0.4, size=(2500, 6)) + np.eye(6)[rng.integers(0, 4, 2500)]
+    k, scores = clusters.select_k(x, k_max=6)
+    want = {j: plain_silhouette(x, plain_kmeans(x, j)[0]) for j in range(2, 7)}
+    assert scores == pytest.approx(want, abs=1e-9) and k == max(want, key=lambda j: (round(want[j], 6), -j))
+    fit = clusters.better(clusters.best_fit(x, [2, 5]), clusters.best_fit(x, [3, 4, 6]))  # in shares
+    assert fit[:2] == (k, scores) and (fit[2][0] == clusters.kmeans(x, k)[0]).all()
+
+
+def test_numbers_of_clusters_tried_in_several_tasks(spark):
+    assert sorted(k for ks in replay._shares(5000, 7) for k in ks) == list(range(2, 31)) and max(map(sum, replay._shares(5000, 7))) < 75
+    sf = "/root/testdata/sf0.001"
+    articles, bars = queries.articles_for_replay(spark, sf), queries.bars_for_replay(spark, sf)
+    step = 3_600_000
+    spread, one = ([r.asDict() for r in replay.run(articles, bars, 2 * step, 6 * step, 4 * step, alone=n).orderBy("snapshot_ms", "rank").collect()] for n in (20, 4096))
+    assert spread == one and len(one) > 20
+
+
 def test_run_equals_one_machine_over_all_rows(spark):
     sf = "/root/testdata/sf0.001"
     articles, bars = queries.articles_for_replay(spark, sf), queries.bars_for_replay(spark, sf)
